@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajkit.llm import chat, mixing, urlfilter
+from trajkit.llm import chat, jaccard, langid, mixing, urlfilter
 from trajkit.llm.common import durable, table
 
 
@@ -26,11 +26,22 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn_languages(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_chat_formatting": op4_chat_formatting, "op9_url_filter": op9_url_filter}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_chat_formatting": op4_chat_formatting, "op5_language_id": op5_language_id, "op9_url_filter": op9_url_filter, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL: dict[str, str] = {}
 
