@@ -22,11 +22,22 @@ from trajkit.llm.common import discard, durable, linked_components
 from trajkit.llm.shingles import set_key, shingle_sets
 
 
+#: Bins of folded counts. Folding brings sets nearer to each other, never apart: with counts x and y over the bins,
+#: sum of min(x, y) / sum of max(x, y) is at least the similarity of the sets, and itself 1 minus a metric.
+FOLDS = 128
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many shingles of lowest order of a set of n hold at least one shared with any set of that similarity."""
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def folded(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of FOLDS bins; all 65535 where a bin does not fit into two bytes."""
+    count = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % FOLDS, minlength=FOLDS)
+    return np.where(count.max() < 1 << 16, count, (1 << 16) - 1).astype(np.uint16).tobytes()
+
+
 def common_shingles(docs: DataFrame, doc_id: str, text: str, k: int, sample: int, most: int) -> np.ndarray:
     """Hashes of frequent shingles, from about `sample` documents chosen by id, at most `most`.
 
@@ -48,17 +59,31 @@ def common_shingles(docs: DataFrame, doc_id: str, text: str, k: int, sample: int
 def _described(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, prefixes = [], [], [], []
+            sizes, first, second, prefixes, folds = [], [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), k):
                 late = np.isin(found, common, assume_unique=True) if len(common) else np.zeros(len(found), dtype=bool)
                 order = np.concatenate([found[~late], found[late]])[: prefix_length(len(found), percent)]
                 a, b = set_key(found)
-                sizes.append(len(found)), first.append(a), second.append(b), prefixes.append(order.astype(np.int64))
+                sizes.append(len(found)), first.append(a), second.append(b), prefixes.append(order.astype(np.int64)), folds.append(folded(found))
             offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "key1", "key2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(folds, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "key1", "key2", "fold", "prefix"])
+
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, fold binary, prefix array<bigint>")
+
+
+def _possible(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their folded counts do not rule out."""
+    left, right = folds.select(F.col("node").alias("a"), F.col("fold").alias("x")), folds.select(F.col("node").alias("b"), F.col("fold").alias("y"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, FOLDS).astype(np.int64) for c in (2, 3))
+            full = (x.max(axis=1) == (1 << 16) - 1) | (y.max(axis=1) == (1 << 16) - 1)
+            near = full | (100 * np.minimum(x, y).sum(axis=1) >= percent * np.maximum(x, y).sum(axis=1))
+            yield batch.select([0, 1]).filter(pa.array(near))
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, prefix array<bigint>")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(bound, "a bigint, b bigint")
 
 
 def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -73,26 +98,27 @@ def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFram
             found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    return some.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node", "hashes"])
+    return some.mapInArrow(sets, "node bigint, hashes binary")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) -> (a, b, shared, size_a, size_b), from their whole sets."""
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) -> (a, b, linked, distance), from their whole sets."""
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, sizes = [], []
+            shared, united = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 few, many = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(many, few)
-                shared.append(int((many[np.minimum(at, len(many) - 1)] == few).sum()) if len(many) else 0)
-                sizes.append((len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64())], names=["a", "b", "shared", "size_a", "size_b"])
+                both = int((many[np.minimum(at, len(many) - 1)] == few).sum()) if len(many) else 0
+                shared.append(both), united.append(max(1, len(x) + len(y) - both))
+            shared, united = np.array(shared, dtype=np.int64), np.array(united, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * shared >= percent * united), pa.array(1 - shared / united, pa.float64())], names=["a", "b", "linked", "distance"])
 
-    return rows.mapInArrow(measure, "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint")
+    return rows.mapInArrow(measure, "a bigint, b bigint, linked boolean, distance double")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, levels: int = 2, order_sample: int = 4000, order_most: int = 1 << 16, broadcast_rows: int = 1 << 20) -> DataFrame:
@@ -109,57 +135,63 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     common = common_shingles(docs, doc_id, text, k, order_sample, order_most)
     every = durable(_described(docs, doc_id, text, k, percent, common))
+    folds = every.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "fold")
     classes = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    rows = classes.where("node is not null").select("node", "n", F.posexplode("prefix").alias("at", "region"))
-    pivots = rows.groupBy("region").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    regions = durable(rows.join(pivots.select("region", "pivot"), "region").select("region", "node", "n", "at", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
-    sets = durable(_whole_sets(docs, doc_id, text, k, regions.select("node").distinct(), broadcast_rows))
+    rows = classes.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "region"))
+    # Regions of two or more: first by their hashes alone, then with what lies in them.
+    shared = rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
+    regions = durable(rows.join(shared, "region"))
 
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    linked = (100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("linked")
-    distance = (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("distance")
-    links, kept, rest, found, first = [], [], regions, None, None
+    # In the region of the first shingle they share, two documents have at most what is left of either in common.
+    reach = lambda n, at, m, to: (100 + percent) * F.least(n - at, m - to) >= percent * (n + m)
+    links: list[DataFrame] = []
+    measured: list[DataFrame] = []
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        """Measure what is possible of pairs, and add it to links and measured."""
+        for m in measured:
+            pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = durable(_possible(pairs, folds, percent).distinct())
+        sets = durable(_whole_sets(docs, doc_id, text, k, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), broadcast_rows))
+        out = durable(_measured(pairs, sets, percent).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
+        discard(pairs, sets)
+        measured.append(out)
+        links.append(out.where("linked").select("a", "b"))
+        return out
+
+    rest, found, distances = regions, None, None
     for level in range(levels):
-        pairs = rest.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        measured = durable(_measured(pairs, sets).select("a", "b", linked, distance))
-        links.append(measured.where("linked").select("a", "b"))
-        kept.append(measured)
-        first = first or measured
+        pivots = rest.groupBy("region").agg(F.min(F.struct("node", "n", "at")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        held = rest.join(pivots.select("region", "p"), "region").where(F.col("node") != F.col("p.node"))
+        pairs = held.where(near(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        out = measure(pairs)
+        distances = out if level == 0 else distances
         found = _labels(links)
-        members = _labelled(regions if level == 0 else rest.drop("label"), found)
         if level + 1 < levels:
             # The next level: what the pivot's component does not hold, under a pivot of its own.
             own = found.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
-            left = members.join(own, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot")).drop("pivot", "pivot_n", "pivot_label")
-            again = left.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-            rest = durable(left.join(again.select("region", "p"), "region").select("region", "node", "n", "at", "label", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
-            kept.append(rest)
+            left = _labelled(held.withColumn("pivot", F.col("p.node")), found).join(own, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
+            rest = durable(left.select("region", "node", "n", "at"))
 
     # What is still apart inside a region, compared pair by pair where the distances to its pivot allow a link.
-    apart = _labelled(regions, found).join(first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"], "left")
-    apart = apart.select("region", "node", "n", "at", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance"))
+    first = regions.groupBy("region").agg(F.min("node").alias("pivot"))
+    apart = _labelled(regions, found)
     several = apart.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("region")
-    apart = durable(apart.join(several, "region"))
+    apart = apart.join(several, "region").join(first, "region").join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"], "left")
+    apart = durable(apart.select("region", "node", "n", "at", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")))
     labels = apart.select("region", "label").distinct()
     meets = labels.select("region", F.col("label").alias("l")).join(labels.select("region", F.col("label").alias("r")), "region").where("l < r")
     left = apart.select("region", *[F.col(c).alias(f"{c}_l") for c in ("label", "node", "n", "at", "distance")])
     right = apart.select("region", *[F.col(c).alias(f"{c}_r") for c in ("label", "node", "n", "at", "distance")])
     both = meets.join(left, (meets["region"] == left["region"]) & (meets["l"] == left["label_l"])).drop(left["region"])
-    both = both.join(right, (both["region"] == right["region"]) & (both["r"] == right["label_r"])).drop(right["region"])
-    # In the region of the first shingle they share, two documents have at most this many in common.
-    at_most = 1 + F.least(F.col("n_l") - F.col("at_l"), F.col("n_r") - F.col("at_r")) - 1
-    both = both.where(near(F.col("n_l"), F.col("n_r")) & ((100 + percent) * at_most >= percent * (F.col("n_l") + F.col("n_r"))))
     window = (100 - percent) / 100 + 1e-9
-    both = both.where(F.col("distance_l").isNull() | F.col("distance_r").isNull() | (F.abs(F.col("distance_l") - F.col("distance_r")) <= window))
-    pairs = both.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
-    tried = kept[0].select("a", "b")
-    for m in kept[1:]:
-        if "linked" in m.columns:
-            tried = tried.union(m.select("a", "b"))
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    last = durable(_measured(pairs, sets).select("a", "b", linked).where("linked").select("a", "b"))
-    found = durable(_labels([*links, last]))
-    discard(sets, apart, regions, *kept)
+    apart_by = F.col("distance_l").isNull() | F.col("distance_r").isNull() | (F.abs(F.col("distance_l") - F.col("distance_r")) <= window)
+    allowed = near(F.col("n_l"), F.col("n_r")) & reach(F.col("n_l"), F.col("at_l"), F.col("n_r"), F.col("at_r")) & apart_by
+    both = both.join(right, (both["region"] == right["region"]) & (both["r"] == right["label_r"]) & allowed)
+    measure(both.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct())
+    found = durable(_labels(links))
+    discard(apart, regions, rest, *measured)
 
     group = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"))
     group = group.join(found, "node", "left").select("key1", "key2", "n", F.coalesce("component", "node").alias("component_id"))
