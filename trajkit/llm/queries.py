@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajkit.llm import chat, jaccard, langid, mixing, urlfilter
-from trajkit.llm.common import durable, table
+import corpus_pipeline
+from trajkit.llm import audio, chat, embeddings, jaccard, langid, licenses, mixing, shards, unigram, urlfilter
+from trajkit.llm.common import durable, shared_folder, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audio.audio_media(table(spark, sf_dir, "documents"))
+    header = audio.HEADER.size  # payloads have an even number of bytes, so nothing follows them
+    out = out.withColumn("payload", F.expr(f"substring(media, {header + 1}, length(media) - {header})"))
+    found = F.concat("tensors", F.encode(F.to_json(F.struct("spans", "segments")), "UTF-8"))
+    return out.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, length(payload) - 31, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.sha2(found, 256).alias("feature"),
+    )
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -33,6 +51,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/shards/{uuid.uuid4().hex}"
+    store = shards.shard_documents(table(spark, sf_dir, "documents"), root, target_bytes=64 << 20)
+    version, _ = store.shards()
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", F.lit(version).cast("long").alias("version"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = unigram.load_vocabulary(corpus_pipeline.MODEL)
+    out = unigram.decode_texts(unigram.encode_texts(docs, model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -41,7 +77,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_chat_formatting": op4_chat_formatting, "op5_language_id": op5_language_id, "op9_url_filter": op9_url_filter, "op10_jaccard_join": op10_jaccard_join}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_audio_features, op3_embedding_dedup, op4_chat_formatting, op5_language_id, op6_license_scan, op7_sharding, op8_sentencepiece, op9_url_filter, op10_jaccard_join, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -88,3 +128,17 @@ f AS (SELECT *, CASE
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM q)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
+
+ORACLE_SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id != b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM good UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(component_id, e.vec_id) AS BIGINT) AS component_id, e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least ON e.vec_id = least.a LEFT JOIN counts ON e.vec_id = counts.a
+"""
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
