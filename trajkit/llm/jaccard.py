@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajkit.llm.common import discard, durable, linked_components
 from trajkit.llm.shingles import set_key, shingle_sets
 
 
-#: Bins of folded counts. Folding brings sets nearer to each other, never apart: with counts x and y over the bins,
-#: sum of min(x, y) / sum of max(x, y) is at least the similarity of the sets, and itself 1 minus a metric.
-FOLDS = 128
+#: A sketch holds, for each of so many bins, whether an odd number of a set's hashes falls into it, as longs. An element that
+#: only one of two sets has changes one bin: sketches differ in no more bins than the sets in elements. Halves of a sketch
+#: laid over each other are a sketch of half as many bins.
+LONGS = 16
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -32,58 +33,56 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def folded(hashes: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of FOLDS bins; all 65535 where a bin does not fit into two bytes."""
-    count = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % FOLDS, minlength=FOLDS)
-    return np.where(count.max() < 1 << 16, count, (1 << 16) - 1).astype(np.uint16).tobytes()
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, doc_id: str, text: str, k: int, sample: int, most: int) -> np.ndarray:
-    """Hashes of frequent shingles, from about `sample` documents chosen by id, at most `most`.
+def _differing(left: str, right: str, longs: int) -> Column:
+    """Bins in which the sketches with columns left0, left1, ... and right0, ... differ."""
+    out = F.lit(0)
+    for i in range(longs):
+        out = out + F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}")))
+    return out
 
-    They only come last in the order of shingles, so that passages that many documents share found no region where a rarer
-    shingle can. The order changes the work and not the result.
+
+def common_shingles(docs: DataFrame, text: str, k: int, percent: int, least: int, most: int) -> np.ndarray:
+    """Hashes of shingles that stand in the prefixes of `least` documents or more, the most frequent `most` of them.
+
+    They come last in the order of shingles, so that passages that many documents share found no region where a rarer
+    shingle can. The order, and so `most`, changes the work and not the result. Prefixes are counted over all documents.
     """
-    every = max(1, docs.count() // sample)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in shingle_sets(batch.column(0).to_pylist(), k):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(found.astype(np.int64))})
+            found = [f[: prefix_length(len(f), percent)] for f in shingle_sets(batch.column(0).to_pylist(), k)]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64))})
 
-    some = docs.where(F.pmod(F.xxhash64(F.lit("order"), F.col(doc_id)), F.lit(every)) == 0).select(F.col(text)).mapInArrow(hashes, "h bigint")
-    often = some.groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "h").limit(most)
+    often = docs.select(F.col(text)).mapInArrow(prefixes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "h").limit(most)
     return np.sort(np.array([r[0] for r in often.select("h").collect()], dtype=np.int64).astype(np.uint64))
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, prefixes, folds = [], [], [], [], []
+            sizes, first, second, prefixes, sketches = [], [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), k):
                 late = np.isin(found, common, assume_unique=True) if len(common) else np.zeros(len(found), dtype=bool)
                 order = np.concatenate([found[~late], found[late]])[: prefix_length(len(found), percent)]
                 a, b = set_key(found)
-                sizes.append(len(found)), first.append(a), second.append(b), prefixes.append(order.astype(np.int64)), folds.append(folded(found))
+                sizes.append(len(found)), first.append(a), second.append(b), prefixes.append(order.astype(np.int64)), sketches.append(sketch(found))
             offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(folds, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "key1", "key2", "fold", "prefix"])
-
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, fold binary, prefix array<bigint>")
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * LONGS, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sketches]))), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "key1", "key2", "sketch", "prefix"])
 
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, sketch array<bigint>, prefix array<bigint>")
 
-def _possible(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their folded counts do not rule out."""
-    left, right = folds.select(F.col("node").alias("a"), F.col("fold").alias("x")), folds.select(F.col("node").alias("b"), F.col("fold").alias("y"))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, FOLDS).astype(np.int64) for c in (2, 3))
-            full = (x.max(axis=1) == (1 << 16) - 1) | (y.max(axis=1) == (1 << 16) - 1)
-            near = full | (100 * np.minimum(x, y).sum(axis=1) >= percent * np.maximum(x, y).sum(axis=1))
-            yield batch.select([0, 1]).filter(pa.array(near))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(bound, "a bigint, b bigint")
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    left, right = (sketches.select(F.col("node").alias(node), F.col("n").alias(f"n{x}"), *[F.col("sketch")[i].alias(f"{x}{i}") for i in range(LONGS)]) for node, x in (("a", "x"), ("b", "y")))
+    limit = (100 + percent) * _differing("x", "y", LONGS) <= (100 - percent) * (F.col("nx") + F.col("ny"))
+    return pairs.join(right, "b").join(left, "a").where(limit).select("a", "b")
 
 
 def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -121,7 +120,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(measure, "a bigint, b bigint, linked boolean, distance double")
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, levels: int = 2, order_sample: int = 4000, order_most: int = 1 << 16, broadcast_rows: int = 1 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, levels: int = 2, order_least: int = 12, order_most: int = 1 << 18, broadcast_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two texts link when 100 * shared >= percent * united shingles.
 
     component_id is the smallest doc_id that links reach, the row's own included. Texts of equal shingle sets are one class,
@@ -133,9 +132,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rows that share an id but not a text count as linked if one of them is. A pair of exactly the threshold links. Very
     long texts are hashed in parts. An empty table stays empty; other columns are not read.
     """
-    common = common_shingles(docs, doc_id, text, k, order_sample, order_most)
+    common = common_shingles(docs, text, k, percent, order_least, order_most)
     every = durable(_described(docs, doc_id, text, k, percent, common))
-    folds = every.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "fold")
+    sketches = every.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "n", "sketch")
     classes = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     rows = classes.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "region"))
     # Regions of two or more: first by their hashes alone, then with what lies in them.
@@ -152,7 +151,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         """Measure what is possible of pairs, and add it to links and measured."""
         for m in measured:
             pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = durable(_possible(pairs, folds, percent).distinct())
+        pairs = durable(_possible(pairs, sketches, percent).distinct())
         sets = durable(_whole_sets(docs, doc_id, text, k, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), broadcast_rows))
         out = durable(_measured(pairs, sets, percent).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
         discard(pairs, sets)
@@ -174,21 +173,24 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             left = _labelled(held.withColumn("pivot", F.col("p.node")), found).join(own, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
             rest = durable(left.select("region", "node", "n", "at"))
 
-    # What is still apart inside a region, compared pair by pair where the distances to its pivot allow a link.
-    first = regions.groupBy("region").agg(F.min("node").alias("pivot"))
-    apart = _labelled(regions, found)
-    several = apart.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("region")
-    apart = apart.join(several, "region").join(first, "region").join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"], "left")
-    apart = durable(apart.select("region", "node", "n", "at", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")))
-    labels = apart.select("region", "label").distinct()
-    meets = labels.select("region", F.col("label").alias("l")).join(labels.select("region", F.col("label").alias("r")), "region").where("l < r")
-    left = apart.select("region", *[F.col(c).alias(f"{c}_l") for c in ("label", "node", "n", "at", "distance")])
-    right = apart.select("region", *[F.col(c).alias(f"{c}_r") for c in ("label", "node", "n", "at", "distance")])
-    both = meets.join(left, (meets["region"] == left["region"]) & (meets["l"] == left["label_l"])).drop(left["region"])
+    # What is still apart inside a region, compared pair by pair where the distances to its pivot allow a link: what its
+    # pivot's component does not hold with everything else in it.
+    pivots = regions.groupBy("region").agg(F.min("node").alias("pivot"))
+    names = _labelled(pivots.select(F.col("pivot").alias("node")).distinct(), found).select(F.col("node").alias("pivot"), F.col("label").alias("main"))
+    pivots = pivots.join(names, "pivot")
+    apart = _labelled(regions, found).join(pivots, "region")
+    several = apart.where("label != main").select("region").distinct()
+    apart = apart.join(several, "region").join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"], "left")
+    half = sketches.select("node", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + LONGS // 2]).alias(f"s{i}") for i in range(LONGS // 2)])
+    apart = apart.join(half, "node").select("region", "node", "n", "at", "label", (F.col("label") == F.col("main")).alias("main"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance"), *half.columns[1:])
+    apart = durable(apart)
+    left, right = (apart.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("label", "node", "n", "at", "main", "distance")], *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(LONGS // 2)]) for side in "lr")
     window = (100 - percent) / 100 + 1e-9
     apart_by = F.col("distance_l").isNull() | F.col("distance_r").isNull() | (F.abs(F.col("distance_l") - F.col("distance_r")) <= window)
     allowed = near(F.col("n_l"), F.col("n_r")) & reach(F.col("n_l"), F.col("at_l"), F.col("n_r"), F.col("at_r")) & apart_by
-    both = both.join(right, (both["region"] == right["region"]) & (both["r"] == right["label_r"]) & allowed)
+    allowed = allowed & ((100 + percent) * _differing("l", "r", LONGS // 2) <= (100 - percent) * (F.col("n_l") + F.col("n_r")))
+    once = F.col("main_r") | (F.col("node_l") < F.col("node_r"))
+    both = left.where("not main_l").join(right, (left["region"] == right["region"]) & (F.col("label_l") != F.col("label_r")) & once & allowed)
     measure(both.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct())
     found = durable(_labels(links))
     discard(apart, regions, rest, *measured)
