@@ -103,11 +103,20 @@ def best_template(block: str, templates: dict[str, str], least: float) -> tuple[
     return name, round(saved, 6), start, end, differences, sure
 
 
+def _apart(rows: list[tuple]) -> list[tuple]:
+    """Of overlapping finds of one template, which windows may give, the one with the fewest differences."""
+    kept: list[tuple] = []
+    for row in sorted(rows, key=lambda r: (not r[5], len(r[4].split()), r[0])):
+        if not any(k[2] == row[2] and k[0] < row[1] and row[0] < k[1] for k in kept):
+            kept.append(row)
+    return sorted(kept)
+
+
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, start, end, license, reduction, differences, confirmed of every candidate block of the whole texts.
 
     start and end are code points in the text. Nulls, empty texts and texts without a cue have no blocks; very long texts
-    and lines are looked at in windows; of windows that find the same words one row stays. Repeated rows give repeated
+    and lines are looked at in windows; of overlapping finds of one template one stays. Repeated rows give repeated
     results, a null id stays null, an empty table gives none; other columns are not read.
     """
     chosen = templates or TEMPLATES
@@ -118,12 +127,8 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             rows = []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                seen = set()
-                for a, b in candidate_blocks(t, longest):
-                    found = best_template(t[a:b], chosen, least)
-                    if found and (row := (a + found[2], a + found[3], found[0], found[1], found[4], found[5]))[:3] not in seen:
-                        seen.add(row[:3])
-                        rows.append((i, *row))
+                found = ((a, best_template(t[a:b], chosen, least)) for a, b in candidate_blocks(t, longest))
+                rows += [(i, *row) for row in _apart([(a + f[2], a + f[3], f[0], f[1], f[4], f[5]) for a, f in found if f])]
             at = pa.array([r[0] for r in rows], pa.int32())
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "start", "end", "license", "reduction", "differences", "confirmed"])
