@@ -196,6 +196,11 @@ def test_rewards_and_failures(spark):
     assert [tuple(g) for g in got] == [(True, 1.0, False), (False, 1.0, False), (False, 1.0, False), (True, 0.0, False), (True, 1.0, True), (True, 1.0, True), (True, 1.0, True), (True, 1.0, False)]
 
 
+def test_final_reward_falls_back_to_the_last_step(spark):
+    rows = [trajectory(), trajectory(final_reward=None, steps=[{"reward": 0.25}, {"reward": 0.5}]), trajectory(final_reward=None, steps=[])]
+    assert [r[0] for r in parsed(spark, rows).orderBy("ordinal").select(trajectories.final_reward(F.col("trajectory"))).collect()] == [1.0, 0.5, 0.0]
+
+
 def test_histograms_and_mismatches(spark):
     rows = trajectories.judged(parsed(spark, [edited(e) for e, _ in CASES]))
     plain = {r["reason"]: r["n"] for r in evaluation.reject_reason_counts(rows, normalised=True).collect()}

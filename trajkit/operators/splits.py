@@ -22,6 +22,22 @@ def hash_order(seed: int | str, *ids: str) -> list[Column]:
     return [F.sha2(text, 256), *map(F.col, ids)]
 
 
+def first_by_hash(rows: DataFrame, count: int, order: list[Column]) -> DataFrame:
+    """The first count rows by order, whose first column is a hex digest, without bringing them all into one task.
+
+    The rows of each four-digit prefix are counted, at most 65,536 numbers for the driver; whole prefixes are taken, and
+    only the one in which the count is reached is sorted.
+    """
+    prefix = F.substring(order[0], 1, 4)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(prefix.alias("p")).agg(F.count("*")).collect())
+    taken = 0
+    for last, n in sizes:
+        if taken + n >= count:
+            return rows.where(prefix < last).union(rows.where(prefix == last).orderBy(*order).limit(count - taken))
+        taken += n
+    return rows
+
+
 def held_out_pool(everything: DataFrame, *excluded: DataFrame, key: str = "task_id") -> DataFrame:
     """Distinct ids of everything that no excluded table holds; nulls there exclude nothing."""
     pool = everything.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
@@ -30,12 +46,6 @@ def held_out_pool(everything: DataFrame, *excluded: DataFrame, key: str = "task_
     return pool
 
 
-def _numbered(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:
-    """The first size rows by order with their ordinal; the sort keeps at most size rows of each partition."""
-    first = rows.orderBy(*order).limit(size)
-    return first.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
-
-
 def sample(pool: DataFrame, size: int, seed: int, *, key: str = "task_id", order: str = "hash") -> DataFrame:
     """size ids of pool as ordinal, key; ValueError if size is below 1 or above what there is."""
     if size < 1:
@@ -44,7 +54,9 @@ def sample(pool: DataFrame, size: int, seed: int, *, key: str = "task_id", order
     if size > available:
         raise ValueError("size exceeds the available ids")
     if order == "hash":
-        return _numbered(pool, size, hash_order(seed, key)).select("ordinal", key)
+        # The manifest of the chosen ids, and nothing else, is numbered in one task.
+        ordinal = F.row_number().over(Window.orderBy(*hash_order(seed, key))) - 1
+        return first_by_hash(pool, size, hash_order(seed, key)).select(ordinal.alias("ordinal"), key)
     if available > MOST_SHUFFLED:
         raise ValueError(f"a shuffle takes at most {MOST_SHUFFLED} ids; use the hash order")
     ids = [r[0] for r in pool.orderBy(key).collect()]
@@ -87,8 +99,8 @@ def stratified_sample(candidates: DataFrame, probes: DataFrame, targets: dict[st
     if order == "hash":
         text = F.concat(F.lit(f"{seed}:"), "length_bucket", F.lit(":"), F.col(key).cast("string"))
         chosen = None
-        for name in names:  # one bounded sort for each bucket; a window over a bucket would be one task
-            part = rows.where(F.col("length_bucket") == name).orderBy(F.sha2(text, 256), key).limit(targets[name])
+        for name in names:
+            part = first_by_hash(rows.where(F.col("length_bucket") == name), targets[name], [F.sha2(text, 256), F.col(key)])
             chosen = part if chosen is None else chosen.union(part)
         last = hash_order(f"{seed}:final-order", key)
         chosen = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(*last)) - 1).select("ordinal", key, "probe_steps", "length_bucket")
@@ -141,7 +153,7 @@ def group_split(rows: DataFrame, ratio: float = 0.05, seed: int = 42, *, key: st
     count = groups.count()
     if not ratio or count < 2:
         return rows.withColumn("split", F.lit("train"))
-    chosen = groups.orderBy(*hash_order(seed, "_group")).limit(min(max(1, round(count * ratio)), count - 1)).withColumn("_chosen", F.lit(True))
+    chosen = first_by_hash(groups, min(max(1, round(count * ratio)), count - 1), hash_order(seed, "_group")).withColumn("_chosen", F.lit(True))
     out = rows.join(chosen, F.col(key).eqNullSafe(F.col("_group")), "left")
     return out.withColumn("split", F.when(F.col("_chosen"), "validation").otherwise("train")).drop("_group", "_chosen")
 

@@ -132,6 +132,12 @@ def terminal_reward(t: Column) -> Column:
     return F.when(ended, F.coalesce(v.get(t, "final_reward", "double"), F.lit(0.0))).otherwise(0.0)
 
 
+def final_reward(t: Column) -> Column:
+    """The recorded final reward, or else that of the last step; 0 without either."""
+    last = v.get(F.try_element_at(v.items(v.get(t, "steps")), F.lit(-1)), "reward", "double")
+    return F.coalesce(v.get(t, "final_reward", "double"), last, F.lit(0.0))
+
+
 def infrastructure_failure(t: Column) -> Column:
     """Failures of the environment and not of the model, after which collection stops."""
     kind, message = v.text(v.get(t, "error.type")), v.text(v.get(t, "error.message"))
