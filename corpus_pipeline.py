@@ -36,7 +36,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, lang, source, the tokens of the whole text, and whether decoding them gives back the text."""
     model = unigram.load_vocabulary(MODEL)
     rows = docs.select(F.struct("doc_id", "lang", "source", F.xxhash64("text").alias("mark")).alias("row"), "text")
-    out = unigram.decode_texts(unigram.encode_texts(rows, model, doc_id="row"), model)
+    out = unigram.encode_texts(rows, model, doc_id="row", decode=True)
     return out.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("doc_id.mark")).alias("exact"))
 
 
