@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajkit.llm.common import lean
+
 #: Payloads are filled up with this byte to a positive multiple of UNIT bytes.
 FILL, UNIT = 255, 576
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -160,4 +162,4 @@ def audio_media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media", "tensors", "spans", "segments"])
                 start = row
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, n_bytes long, media binary, tensors binary, spans {times}, segments {times}")
+    return lean(docs).select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, n_bytes long, media binary, tensors binary, spans {times}, segments {times}")

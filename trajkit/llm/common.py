@@ -5,16 +5,41 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: what stands between the ASCII white-space characters. A fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of one batch between Spark and a Python worker.
+ARROW_BYTES = 8 << 20
+
 _own_folder: list[str] = []
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most ARROW_BYTES: workers that meet long texts stay small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == f"{64 << 20}b":  # the default, so that nobody has set it
+        df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df
+
+
+def row_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a text column with about `most` bytes each: only these become Python objects at once."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,9 +59,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/trajkit/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all durable tables of this application. Results that were built on them can't be read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends there, whatever executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/trajkit/{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._trajkit_path = path

@@ -37,6 +37,8 @@ def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool
     With x = a + e and y = b + f (codes times scale, and what they leave out), x.y differs from a.b by at most
     |a||f| + |e||b| + |e||f|, and |a| <= 1 + |e|. Pairs whose product plus that bound reaches the threshold are recomputed.
     """
+    # Powers of two bring every vector's greatest component near 1: exact, and no square gets too large or too small.
+    left, right = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (left, right))
     unit = [v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (left, right)]
     (qa, sa, ea), (qb, sb, eb) = map(quantised, unit)
     found_i, found_j = [], []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import discard, durable, linked_components
+from trajkit.llm.common import discard, durable, lean, linked_components, row_slices
 from trajkit.llm.shingles import set_key, shingle_sets
 
 
@@ -55,25 +55,31 @@ def common_shingles(docs: DataFrame, text: str, k: int, percent: int, least: int
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f[: prefix_length(len(f), percent)] for f in shingle_sets(batch.column(0).to_pylist(), k)]
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64))})
+            for a, b in row_slices(batch.column(0)):
+                found = [f[: prefix_length(len(f), percent)] for f in shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), k)]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64))})
 
     often = docs.select(F.col(text)).mapInArrow(prefixes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "h").limit(most)
     return np.sort(np.array([r[0] for r in often.select("h").collect()], dtype=np.int64).astype(np.uint64))
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    def described(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        sizes, first, second, prefixes, sketches = [], [], [], [], []
+        for found in shingle_sets(texts, k):
+            at = np.searchsorted(common, found)
+            late = common[np.minimum(at, len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
+            a, b = set_key(found)
+            sizes.append(len(found)), first.append(a), second.append(b), sketches.append(sketch(found))
+            prefixes.append(np.concatenate([found[~late], found[late]])[: prefix_length(len(found), percent)].astype(np.int64))
+        flat = lambda parts, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+        columns = [ids.cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (sizes, first, second)), flat(sketches, np.arange(len(sizes) + 1) * LONGS), flat(prefixes, np.cumsum([0, *map(len, prefixes)]))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key1", "key2", "sketch", "prefix"])
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, prefixes, sketches = [], [], [], [], []
-            for found in shingle_sets(batch.column(1).to_pylist(), k):
-                late = np.isin(found, common, assume_unique=True) if len(common) else np.zeros(len(found), dtype=bool)
-                order = np.concatenate([found[~late], found[late]])[: prefix_length(len(found), percent)]
-                a, b = set_key(found)
-                sizes.append(len(found)), first.append(a), second.append(b), prefixes.append(order.astype(np.int64)), sketches.append(sketch(found))
-            offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * LONGS, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sketches]))), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "key1", "key2", "sketch", "prefix"])
+            for a, b in row_slices(batch.column(1)):
+                yield described(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist())
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, sketch array<bigint>, prefix array<bigint>")
 
@@ -94,8 +100,9 @@ def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFram
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+            for a, b in row_slices(batch.column(1)):
+                found = [s.tobytes() for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     return some.mapInArrow(sets, "node bigint, hashes binary")
 
@@ -132,7 +139,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rows that share an id but not a text count as linked if one of them is. A pair of exactly the threshold links. Very
     long texts are hashed in parts. An empty table stays empty; other columns are not read.
     """
-    common = common_shingles(docs, text, k, percent, order_least, order_most)
+    common = common_shingles(lean(docs), text, k, percent, order_least, order_most)
     every = durable(_described(docs, doc_id, text, k, percent, common))
     sketches = every.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "n", "sketch")
     classes = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajkit.llm.common import lean, row_slices
+
 #: Letters fall into so many classes: one for all that is no letter, 26 for a to z, the others by code point.
 CLASSES, BITS = 256, 8
-#: Rows of texts that are counted together.
-SLICE_CHARS = 1 << 20
+#: Bytes of text that are counted together.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -92,18 +94,6 @@ def text_vectors(texts: list[str | None], profile: Profile) -> np.ndarray:
     return out
 
 
-def _sliced(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE_CHARS characters each."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= SLICE_CHARS:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 @dataclass
 class LanguageModel:
     """languages: names in code-point order; prototypes: their bundles, brought to length 1."""
@@ -115,15 +105,14 @@ class LanguageModel:
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, cosine to its prototype, at least 0) of each text; ('und', 0.0) without a letter. Ties go to the first name."""
         out = []
-        for a, b in _sliced(texts):
-            for vector in text_vectors(texts[a:b], self.profile):
-                length = np.sqrt((vector * vector).sum())
-                if not length or not self.languages:
-                    out.append(("und", 0.0))
-                    continue
-                cosines = (self.prototypes * vector).sum(axis=1) / length
-                best = int(np.argmax(cosines))
-                out.append((self.languages[best], float(min(1.0, max(0.0, cosines[best])))))
+        for vector in text_vectors(texts, self.profile):
+            length = np.sqrt((vector * vector).sum())
+            if not length or not self.languages:
+                out.append(("und", 0.0))
+                continue
+            cosines = (self.prototypes * vector).sum(axis=1) / length
+            best = int(np.argmax(cosines))
+            out.append((self.languages[best], float(min(1.0, max(0.0, cosines[best])))))
         return out
 
 
@@ -151,15 +140,15 @@ def learn_languages(labelled: DataFrame, *, key: str = "doc_id", text: str = "te
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _sliced(texts):
-                for name, vector in zip(names[a:b], text_vectors(texts[a:b], profile), strict=True):
+            names = batch.column(0).to_pylist()
+            for a, b in row_slices(batch.column(1), SLICE_BYTES):
+                for name, vector in zip(names[a:b], text_vectors(batch.column(1).slice(a, b - a).to_pylist(), profile), strict=True):
                     length = np.sqrt((vector * vector).sum())
                     if length:
                         sums[name] = sums.get(name, 0) + np.rint(vector / length * (1 << 20)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))})
 
-    parts = sample.mapInArrow(bundle, "lang string, sums array<bigint>")
+    parts = lean(sample).mapInArrow(bundle, "lang string, sums array<bigint>")
     flat = parts.select("lang", F.posexplode("sums").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     learned = flat.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("sums")).collect()
     learned.sort(key=lambda r: r["lang"])
@@ -180,11 +169,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "te
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.score(batch.column(at).to_pylist())
+            found = [x for a, b in row_slices(batch.column(at), SLICE_BYTES) for x in model.score(batch.column(at).slice(a, b - a).to_pylist())]
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, lang_pred, score])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(predict, schema)
+    return lean(docs).select(*[f"`{c}`" for c in kept]).mapInArrow(predict, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", least_score: float = 0.0) -> DataFrame:

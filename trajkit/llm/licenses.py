@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajkit.llm.common import lean, row_slices
+
 #: License notices as they are commonly worded. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -126,12 +128,13 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            texts = (t for a, b in row_slices(batch.column(1)) for t in batch.column(1).slice(a, b - a).to_pylist())
+            for i, t in enumerate(texts):
                 found = ((a, best_template(t[a:b], chosen, least)) for a, b in candidate_blocks(t, longest))
                 rows += [(i, *row) for row in _apart([(a + f[2], a + f[3], f[0], f[1], f[4], f[5]) for a, f in found if f])]
             at = pa.array([r[0] for r in rows], pa.int32())
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "start", "end", "license", "reduction", "differences", "confirmed"])
 
-    cued = docs.select(F.col(doc_id), F.col(text)).where(F.rlike(F.col(text), F.lit(CUES)))
+    cued = lean(docs).select(F.col(doc_id), F.col(text)).where(F.rlike(F.col(text), F.lit(CUES)))
     return cued.mapInArrow(scan, f"doc_id {kind}, start long, end long, license string, reduction double, differences string, confirmed boolean")

@@ -59,17 +59,29 @@ def _cut(data: bytes) -> Iterator[bytes]:
     yield data[start:]
 
 
-def _sets(words: np.ndarray, k: int) -> np.ndarray:
-    """The sorted distinct hashes of the k-word shingles of one text; with fewer words, of the whole sequence."""
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each place on; fewer words than k have none."""
+    n = len(words) - k + 1
+    if n < 1:
+        return words[:0]
+    total = words[:n] * _PLACE[0]
+    for i in range(1, k):
+        total += words[i : n + i] * _PLACE[i]
+    return mixed(total)
+
+
+def _set(words: np.ndarray, shingles: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct shingles of one text; with fewer than k words, one for the whole sequence."""
     n = len(words)
     if not n:
         return words
     if n < k:
         return mixed((words * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + np.array([n], dtype=np.uint64) * _PLACE[k])
-    total = words[: n - k + 1] * _PLACE[0]
-    for i in range(1, k):
-        total = total + words[i : n - k + 1 + i] * _PLACE[i]
-    return np.unique(mixed(total))
+    ordered = np.sort(shingles)
+    fresh = np.empty(len(ordered), dtype=bool)
+    fresh[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return ordered[fresh]
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -79,10 +91,11 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
 
     def flush() -> Iterator[np.ndarray]:
         places, hashes = word_hashes(b" ".join(pending))
-        ends = np.searchsorted(places, np.cumsum([len(p) + 1 for p in pending]))
+        ends = np.searchsorted(places, np.cumsum([len(p) + 1 for p in pending])).tolist()
+        shingles = _shingles(hashes, k)
         start = 0
         for end in ends:
-            yield _sets(hashes[start:end], k)
+            yield _set(hashes[start:end], shingles[start : max(start, end - k + 1)], k)
             start = end
 
     for text in texts:
@@ -90,7 +103,8 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
         if len(data) > SLICE_BYTES:
             yield from flush()
             pending, size = [], 0
-            yield _sets(np.concatenate([word_hashes(part)[1] for part in _cut(data)]), k)
+            words = np.concatenate([word_hashes(part)[1] for part in _cut(data)])
+            yield _set(words, _shingles(words, k), k)
             continue
         pending.append(data)
         size += len(data) + 1

@@ -9,14 +9,19 @@ gives back every text exactly.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajkit.llm.common import lean, row_slices
+
 MARKER = "▁"
 #: The byte that stands for the marker inside units: no UTF-8 text holds it.
 MARK = 0xFF
@@ -25,7 +30,9 @@ UNKNOWN_PENALTY = 10.0
 #: The largest model file that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
 #: Units whose tokens a Python worker remembers, and bytes of text that are encoded together.
-REMEMBERED, SLICE_BYTES = 1 << 20, 1 << 22
+REMEMBERED, SLICE_BYTES = 1 << 18, 1 << 21
+#: Bytes of units that the segmentation takes side by side.
+PLACES = 1 << 19
 
 
 @dataclass
@@ -115,31 +122,30 @@ def read_model(data: bytes) -> Vocabulary:
 
 def _width(first: np.ndarray) -> np.ndarray:
     """Bytes of the character that starts with each byte; the mark is one byte."""
-    return np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, np.where(first < 0xF8, 4, 1))))
+    return np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, np.where(first < 0xF8, 4, 1)))).astype(np.int8)
 
 
-def best_segmentations(units: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """The tokens of each unit by Viterbi, many units side by side; of equal sums the one whose last pieces start earliest."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(units)
-    sizes = np.array([len(u) for u in units])
+def best_segmentations(units: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The tokens of each unit by Viterbi, as the bytes of 32-bit numbers, many units side by side; of equal sums the one whose last pieces start earliest."""
+    out = [b""] * len(units)
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
-    start = 0
-    while start < len(order):
-        # Units of like length, about four million places at a time.
-        end = start + 1
-        while end < len(order) and sizes[order[end]] <= max(8, 1.25 * sizes[order[start]]) and (end - start) * sizes[order[end]] < 1 << 22:
-            end += 1
-        some = order[start:end]
-        for i, tokens in zip(some, _segment([units[i] for i in some], sizes[some], v), strict=True):
-            out[i] = tokens
+    ascending, start = sizes[order].tolist(), 0
+    while start < len(ascending):
+        # Units of like length, about PLACES places at a time.
+        most = max(8, ascending[start] * 5 // 4)
+        end = min(bisect_right(ascending, most), start + max(1, PLACES // most))
+        some = order[start:end].tolist()
+        tokens, cuts = _segment([units[i] for i in some], sizes[some], v)
+        for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+            out[i] = tokens[a:b]
         start = end
     return out
 
 
-def _segment(units: list[bytes], sizes: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
+def _segment(units: list[bytes], sizes: np.ndarray, v: Vocabulary) -> tuple[bytes, list[int]]:
+    """The units' tokens one after the other, and the places in bytes where units begin and end; units aren't empty."""
     n, length = len(units), int(sizes.max())
-    if not length:
-        return [np.zeros(0, dtype=np.int32)] * n
     text = np.frombuffer(b"".join(u.ljust(length, b"\0") for u in units), dtype=np.uint8).reshape(n, length)
     text = np.ascontiguousarray(text.T)  # by place, so that a step reads neighbours
     widths = _width(text)
@@ -172,7 +178,7 @@ def _segment(units: list[bytes], sizes: np.ndarray, v: Vocabulary) -> list[np.nd
                 best[k + 1, r], came[k + 1, r], token[k + 1, r] = sum_[better], at, number[better]
         lone = np.flatnonzero(~single)
         if len(lone):
-            r, to = rows[lone], np.minimum(at + width[lone], sizes[rows[lone]])
+            r, to = rows[lone], np.minimum(at + width[lone].astype(np.int64), sizes[rows[lone]])
             sum_ = here[lone] + v.unknown_score
             better = sum_ > best[to, r]
             r, to = r[better], to[better]
@@ -196,26 +202,27 @@ def _segment(units: list[bytes], sizes: np.ndarray, v: Vocabulary) -> list[np.nd
         offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         raw = text[begin[which] + offset, unit[which]]
         number, unit = np.where(number[which] < 0, v.byte_id[raw], number[which]), unit[which]
-    cuts = np.searchsorted(unit, np.arange(1, n))
-    return np.split(number.astype(np.int32), cuts)
+    return number.astype(np.int32).tobytes(), (4 * np.searchsorted(unit, np.arange(n + 1))).tolist()
+
+
+_UNIT = re.compile(rb"\xff*[^\xff]+|\xff+")
+#: The unit that stands for the marker's own character.
+_OWN = b"\xfe"
 
 
 def units_of(text: str, v: Vocabulary) -> list[bytes]:
-    """The text cut where a marker follows something else than a marker; no piece reaches over such a cut."""
+    """The text cut where a marker follows something else than a marker; no piece reaches over such a cut.
+
+    The marker's own character is no marker: it stands alone, and its bytes' pieces stand for it.
+    """
     if not text:
         return []
-    words = ((" " if v.prefix else "") + text).split(" ")
-    out, marks = [], 0
-    first = True
-    for word in words:
-        if not first:
-            marks += 1
-        first = False
-        if word:
-            out.append(bytes([MARK]) * marks + word.encode("utf-8", "surrogatepass"))
-            marks = 0
-    if marks:
-        out.append(bytes([MARK]) * marks)
+    data = ((" " if v.prefix else "") + text).encode("utf-8", "surrogatepass").replace(b" ", bytes([MARK]))
+    if MARKER not in text:
+        return _UNIT.findall(data)
+    out: list[bytes] = []
+    for i, part in enumerate(data.split(MARKER.encode())):
+        out += [_OWN] * (i > 0) + _UNIT.findall(part)
     return out
 
 
@@ -226,40 +233,33 @@ class Encoder:
         self.v, self.known = v, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else self._parts(t) for t in texts]
-        new = {u for units in cut if units for u in units if u not in self.known}
+        cut = [None if t is None else units_of(t, self.v) for t in texts]
+        met = set().union(*(units for units in cut if units))
+        new = met - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {u for units in cut if units for u in units}
+            self.known, new = {}, met
+        new.discard(_OWN)
         ordered = list(new)
         self.known.update(zip(ordered, best_segmentations(ordered, self.v), strict=True))
-        known, none = self.known, np.zeros(0, dtype=np.int32)
-        return [None if units is None else np.concatenate([known[u] for u in units]) if units else none for units in cut]
-
-    def _parts(self, text: str) -> list[bytes]:
-        units = units_of(text, self.v)
-        if MARKER not in text:
-            return units
-        # The marker's own character is no marker: it stands alone, and its bytes' pieces stand for it.
-        out = []
-        for u in units:
-            pieces = u.split(MARKER.encode())
-            for i, p in enumerate(pieces):
-                if i:
-                    self.known.setdefault(b"\xfe", self.v.byte_id[list(MARKER.encode())])
-                    out.append(b"\xfe")
-                if p:
-                    out.append(p)
-        return out
-
-
-def decode_ids(ids: np.ndarray, v: Vocabulary, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
-    """The bytes of a row of tokens, without the space that the first marker stands for."""
-    count = sizes[ids]
-    total = int(count.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[ids], count)
-    data = joined[at].tobytes()
-    return data[1:] if v.prefix and data else data
+        self.known[_OWN] = self.v.byte_id[list(MARKER.encode())].tobytes()
+        tokens = self.known.__getitem__
+        return [None if units is None else np.frombuffer(b"".join(map(tokens, units)), dtype=np.int32) for units in cut]
+
+
+class Decoder:
+    """Turns tokens into text: each piece's bytes, with spaces for markers."""
+
+    def __init__(self, v: Vocabulary):
+        self.prefix = v.prefix
+        self.sizes = np.array([len(b) for b in v.bytes_of])
+        self.joined, self.starts = np.frombuffer(b"".join(v.bytes_of), dtype=np.uint8), np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text, without the space that the first marker stands for."""
+        count = self.sizes[ids]
+        at = np.arange(int(count.sum())) + np.repeat(self.starts[ids] - (np.cumsum(count) - count), count)
+        data = self.joined[at].tobytes()
+        return (data[1:] if self.prefix and data else data).decode("utf-8", "replace")
 
 
 def load_vocabulary(path: str) -> bytes:
@@ -271,19 +271,15 @@ def load_vocabulary(path: str) -> bytes:
     return data
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= SLICE_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
+@lru_cache(maxsize=2)
+def _coder(model: bytes) -> tuple[Encoder, Decoder]:
+    """A Python worker's encoder and decoder: vocabulary and memory serve all tasks that the worker runs."""
+    v = read_model(model)
+    return Encoder(v), Decoder(v)
 
 
-def encode_texts(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids of every row: the tokens of the whole text.
+def encode_texts(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """doc_id, ids of every row: the tokens of the whole text; with decode also decoded, the text that the ids stand for.
 
     A null text has null ids, an empty one none. Very long texts are encoded whole, word by word; repeated words are looked
     up. Repeated rows give equal ids, a null id stays null, an empty table stays empty; other columns are not read.
@@ -292,18 +288,18 @@ def encode_texts(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_model(held.value))
+        encoder, decoder = _coder(held.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices([len(t or "") for t in texts]):
-                ids = encoder.encode(texts[a:b])
+            for a, b in row_slices(batch.column(1), SLICE_BYTES):
+                ids = encoder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
                 flat = np.concatenate([np.zeros(0, dtype=np.int32), *(x for x in ids if x is not None)])
-                missing = pa.array([x is None for x in ids])
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=missing)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["doc_id", "ids"])
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=pa.array([x is None for x in ids]))]
+                if decode:
+                    columns.append(pa.array([None if x is None else decoder.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return lean(docs).select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
 def decode_texts(tokens: DataFrame, model: bytes, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -314,14 +310,11 @@ def decode_texts(tokens: DataFrame, model: bytes, *, ids: str = "ids", text: str
     column = kept.index(ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = read_model(held.value)
-        sizes = np.array([len(b) for b in v.bytes_of])
-        joined, starts = np.frombuffer(b"".join(v.bytes_of), dtype=np.uint8), np.cumsum(sizes) - sizes
+        decoder = _coder(held.value)[1]
         for batch in batches:
-            lists = batch.column(column)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for a, b in _slices((4 * np.diff(offsets)).tolist()):
-                texts = [decode_ids(flat[offsets[i] : offsets[i + 1]], v, joined, starts, sizes).decode("utf-8", "replace") if lists[i].is_valid else None for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(texts, pa.string())], names=[*kept, text])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                texts = [None if not x.is_valid else decoder.decode(x.values.to_numpy(zero_copy_only=False)) for x in part.column(column)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, text])
 
-    return tokens.select(*kept).mapInArrow(decode, schema)
+    return lean(tokens).select(*kept).mapInArrow(decode, schema)
