@@ -86,6 +86,20 @@ def test_streaks_are_broken_by_steps(spark):
     assert [r["streak"] for r in got] == [1, 2, 0, 1, 2, 3, 0, 1] and [r["over"] for r in got].index(True) == 5
 
 
+def test_replayed_status(spark):
+    logs = {
+        1: (["step", "blocked", "blocked", "step", "blocked", "final"], "assistant_final", 2, 3, 1.0, 0),
+        2: (["blocked", "blocked", "blocked", "step"], "invalid_action_limit", 0, 3, 0.0, 1),
+        3: (["step"] * 6, "max_steps", 4, 0, 1.0, 2),
+        4: (["step", "done", "step"], "done", 2, 0, 1.0, 1),
+        5: (["step", "error"], "error", 1, 0, 1.0, 0),
+        6: (["step", "blocked"], "running", 1, 1, 1.0, 0),
+    }
+    rows = [(t, i, "step" if k == "done" else k, k == "done", 1.0) for t, (kinds, *_) in logs.items() for i, k in enumerate(kinds)]
+    got = replay.replayed_status(spark.createDataFrame(rows, "task_id long, step_index long, kind string, done boolean, reward double"), 4).collect()
+    assert {r["task_id"]: tuple(r)[1:] for r in got} == {t: x[1:] for t, x in logs.items()}
+
+
 def test_accept_until(spark):
     rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "ordinal long, accepted boolean").repartition(5)
     got = replay.accept_until(rows, 4, buckets=8).collect()

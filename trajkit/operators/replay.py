@@ -21,6 +21,38 @@ def blocked_streaks(events: DataFrame, limit: int = schema.BLOCKED_STREAK_LIMIT,
     return rows.withColumn("streak", F.sum(F.col("blocked").cast("int")).over(inside)).withColumn("over", F.col("streak") >= limit).drop("_island")
 
 
+def replayed_status(events: DataFrame, max_steps: int, limit: int = schema.BLOCKED_STREAK_LIMIT, trajectory: str = "task_id", order: tuple[str, ...] = ("step_index",)) -> DataFrame:
+    """How each recorded rollout must have ended, from its log: trajectory, status, steps, blocked, final_reward, after_end.
+
+    events hold kind (step, blocked, final or error), done and reward. A rollout ends at the first event that a final answer,
+    an error, a step that ends the environment, the last step allowed, or limit blocked calls in a row make the last; without
+    one it is running. The reward is that of the last step carried out. after_end counts events that should not be there.
+    """
+    if max_steps < 1:
+        raise ValueError("max_steps must be positive")
+    kind, step = F.col("kind"), F.col("kind") == "step"
+    rows = blocked_streaks(events.withColumn("blocked", kind == "blocked"), limit, trajectory, order)
+    before = Window.partitionBy(trajectory).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_steps", F.count_if(step).over(before)).withColumn("_n", F.row_number().over(Window.partitionBy(trajectory).orderBy(*order)))
+    ended = (
+        F.when(kind == "final", "assistant_final")
+        .when(kind == "error", "error")
+        .when(F.col("over") & (kind == "blocked"), "invalid_action_limit")
+        .when(step & F.coalesce(F.col("done"), F.lit(False)), "done")
+        .when(step & (F.col("_steps") >= max_steps), "max_steps")
+    )
+    rows = rows.withColumn("_end", ended)
+    rows = rows.withColumn("_last", F.min(F.when(F.col("_end").isNotNull(), F.col("_n"))).over(Window.partitionBy(trajectory)))
+    inside = F.col("_last").isNull() | (F.col("_n") <= F.col("_last"))
+    return rows.groupBy(trajectory).agg(
+        F.coalesce(F.max(F.when(F.col("_n") == F.col("_last"), F.col("_end"))), F.lit("running")).alias("status"),
+        F.count_if(inside & step).alias("steps"),
+        F.count_if(inside & (kind == "blocked")).alias("blocked"),
+        F.coalesce(F.max_by(F.when(inside & step, F.col("reward")), F.when(inside & step, F.col("_n"))), F.lit(0.0)).alias("final_reward"),
+        F.count_if(~inside).alias("after_end"),
+    )
+
+
 def option_latch(events: DataFrame, tool: str = "tool", trajectory: str = "task_id", order: tuple[str, ...] = ("step_index",)) -> DataFrame:
     """events with late: an option was selected before, and this is neither a selection, a purchase nor a thought."""
     before = Window.partitionBy(trajectory).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -199,6 +199,21 @@ def blocked_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.blocked_streaks(rows, trajectory="user_id", order=("ts", "event_id")).select("event_id", "streak", "over")
 
 
+@query("""WITH k AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'blocked' WHEN event_type = 'signup' AND event_id % 40 = 0 THEN 'final' ELSE 'step' END AS kind, event_type = 'purchase' AND event_id % 25 = 0 AS done, CAST(event_id % 7 AS DOUBLE) AS reward FROM events),
+i AS (SELECT *, sum(CASE WHEN kind = 'blocked' THEN 0 ELSE 1 END) OVER w AS island, sum(CASE WHEN kind = 'step' THEN 1 ELSE 0 END) OVER w AS steps, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, sum(CASE WHEN kind = 'blocked' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i),
+e AS (SELECT *, CASE WHEN kind = 'final' THEN 'assistant_final' WHEN kind = 'blocked' AND streak >= 3 THEN 'invalid_action_limit' WHEN kind = 'step' AND done THEN 'done' WHEN kind = 'step' AND steps >= 30 THEN 'max_steps' END AS ended FROM s),
+l AS (SELECT user_id, coalesce(min(n) FILTER (ended IS NOT NULL), 1000000000) AS last FROM e GROUP BY user_id)
+SELECT e.user_id, coalesce(max(ended) FILTER (n = last), 'running') AS status, count(*) FILTER (n <= last AND kind = 'step') AS steps, count(*) FILTER (n <= last AND kind = 'blocked') AS blocked,
+  coalesce(arg_max(reward, n) FILTER (n <= last AND kind = 'step'), 0.0) AS final_reward, count(*) FILTER (n > last) AS after_end FROM e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id""")
+def replayed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each user's events, taken as a rollout's log, must have ended."""
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "blocked").when((F.col("event_type") == "signup") & (e % 40 == 0), "final").otherwise("step")
+    rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), ((F.col("event_type") == "purchase") & (e % 25 == 0)).alias("done"), (e % 7).cast("double").alias("reward"))
+    return replay.replayed_status(rows, 30, trajectory="user_id", order=("ts", "event_id"))
+
+
 @query("""WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events), f AS (SELECT min(step) AS first_step FROM n WHERE event_type = 'error' GROUP BY user_id), c AS (SELECT first_step, count(*) AS n FROM f GROUP BY first_step)
 SELECT first_step, n, CAST(sum(n) OVER (ORDER BY first_step) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS cumulative_share FROM c""")
 def first_block_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
