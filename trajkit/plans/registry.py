@@ -154,11 +154,11 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FIRST_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY length_bucket ORDER BY sha256('7:' || length_bucket || ':' || task_id::VARCHAR), task_id) AS k FROM p WHERE eligible)
-SELECT CAST(row_number() OVER (ORDER BY sha256('7:final-order:' || task_id::VARCHAR), task_id) - 1 AS INTEGER) AS ordinal, task_id, probe_steps, length_bucket FROM c WHERE k <= 2""")
+SELECT CAST(row_number() OVER (ORDER BY sha256('7:final-order:' || task_id::VARCHAR), task_id) - 1 AS INTEGER) AS ordinal, task_id, probe_steps, length_bucket FROM c WHERE k <= CASE length_bucket WHEN 'medium' THEN 1 ELSE 2 END""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tasks of each bucket, in the hash order."""
+    """Two short, one medium and two long tasks, in the hash order."""
     probes = _probes(spark, sf_dir)
-    return splits.stratified_sample(probes, probes, {"short": 2, "medium": 2, "long": 2}, 7)[0]
+    return splits.stratified_sample(probes, probes, {"short": 2, "medium": 1, "long": 2}, 7)[0]
 
 
 _TOOLS = {"signup": "search_products", "view": "open_product", "click": "select_option", "purchase": "buy_now"}
@@ -322,7 +322,7 @@ def accept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.acceptance_totals(trajectories.judged(_event_trajectories(spark, sf_dir)))
 
 
-@query("SELECT event_id, event_type = 'purchase' AND event_id % 36 = 4 AND false AS strict, 0.0 AS reward FROM events")
+@query("SELECT event_id, event_type = 'purchase' AND event_id % 36 = 4 AND false AS strict, CAST(0.0 AS DOUBLE) AS reward FROM events")
 def terminal_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over is 1 and not true here, so nothing is a strict success."""
     t = F.col("trajectory")
