@@ -55,6 +55,14 @@ def test_nulls_empty_repeats_and_long_texts(spark):
     assert got == sorted([(5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 1, 8), (9, 1, 8), (9, 1, 8), (10, 59_997, 10), (11, 59_998, 10), (None, 1, 8), (None, 1, None)], key=repr)
 
 
+def test_rows_that_repeat_often(spark):
+    text = " ".join(f"r{i}" for i in range(60))
+    rows = [(1, text)] * 400 + [(2, text + " end")] * 400 + [(3, "something else entirely here")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.jaccard_components(docs).collect()]
+    assert sorted(got) == [(1, 57, 1)] * 400 + [(2, 58, 1)] * 400 + [(3, 1, 3)] * 5
+
+
 def test_empty_table_and_layouts(spark):
     assert run(spark, []) == {}
     rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {i % 3}") for i in range(30)]

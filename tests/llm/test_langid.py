@@ -28,6 +28,13 @@ def test_vectors_equal_the_plain_sum():
         assert (vector == plain_vector(text, langid.Profile())).all(), text
 
 
+def test_long_texts_in_parts(monkeypatch):
+    texts = ["ab, cd! " * 20, "abc" * 30, "é 1 x" * 9, None]
+    whole = langid.text_vectors(texts, langid.Profile())
+    monkeypatch.setattr(langid, "LONG", 5)
+    assert (langid.text_vectors(texts, langid.Profile()) == whole).all()
+
+
 def test_held_out_accuracy_and_learning_set(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet")
     model = langid.learn_languages(docs.where(~langid.held_out(F.col("doc_id"))))

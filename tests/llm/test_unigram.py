@@ -86,6 +86,15 @@ def test_double_array_holds_its_keys_and_no_others():
     assert [find(k) for k in (b"c", b"ac", b"abcd", b"ba", b"\xffb")] == [-1] * 5
 
 
+def test_long_texts_in_parts(vocabulary, monkeypatch):
+    texts = ["a  bc ▁ def " * 50, "x" * 400, " " * 300, "日本 " * 100, None, ""]
+    whole = unigram.Encoder(vocabulary).encode(texts)
+    monkeypatch.setattr(unigram, "UNITS", 7)
+    for a, b in zip(whole, unigram.Encoder(vocabulary).encode(texts), strict=True):
+        assert (a is None and b is None) or list(a) == list(b)
+    assert decoded(whole[0], vocabulary) == texts[0]
+
+
 def test_tables(spark):
     model = unigram.load_vocabulary(MODEL)
     long_text = "word " * 30_000 + "x" * 5_000

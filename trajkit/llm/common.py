@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of one batch between Spark and a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 _own_folder: list[str] = []
 
@@ -30,7 +30,7 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def row_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def row_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows of a text column with about `most` bytes each: only these become Python objects at once."""
     ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0

@@ -141,7 +141,12 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     common = common_shingles(lean(docs), text, k, percent, order_least, order_most)
     every = durable(_described(docs, doc_id, text, k, percent, common))
-    sketches = every.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "n", "sketch")
+    known = every.where("n > 0 and doc_id is not null")
+    sketches = known.select(F.col("doc_id").alias("node"), "n", "key1", "key2", "sketch")
+    # Where a row repeats, each of its sets must be joined once.
+    repeats = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count() > 0
+    if repeats:
+        sketches = durable(sketches.dropDuplicates(["node", "key1", "key2"]))
     classes = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     rows = classes.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "region"))
     # Regions of two or more: first by their hashes alone, then with what lies in them.
@@ -159,7 +164,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         for m in measured:
             pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
         pairs = durable(_possible(pairs, sketches, percent).distinct())
-        sets = durable(_whole_sets(docs, doc_id, text, k, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), broadcast_rows))
+        sets = _whole_sets(docs, doc_id, text, k, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), broadcast_rows)
+        sets = durable(sets.dropDuplicates() if repeats else sets)
         out = durable(_measured(pairs, sets, percent).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
         discard(pairs, sets)
         measured.append(out)

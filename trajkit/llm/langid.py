@@ -22,6 +22,8 @@ from trajkit.llm.common import lean, row_slices
 CLASSES, BITS = 256, 8
 #: Bytes of text that are counted together.
 SLICE_BYTES = 1 << 20
+#: Characters of a text beyond which it is counted in parts.
+LONG = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -75,8 +77,26 @@ def count_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return found >> 3 * BITS, found & (1 << 3 * BITS) - 1, count
 
 
+def _parts(text: str) -> Iterator[str]:
+    """text in parts of about LONG characters, cut where no letter stands: the grams of the parts are those of the text."""
+    start = 0
+    while len(text) - start > LONG:
+        end = start + LONG
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def text_vectors(texts: list[str | None], profile: Profile) -> np.ndarray:
     """Bundles of the texts, one row each; sums of whole numbers, so they do not depend on what is counted together."""
+    if any(len(t or "") > LONG for t in texts):
+        return np.concatenate([sum(_bundled([part], profile) for part in _parts(t or "")) for t in texts])
+    return _bundled(texts, profile)
+
+
+def _bundled(texts: list[str | None], profile: Profile) -> np.ndarray:
     row, gram, count = count_grams(texts)
     own, column = np.unique(gram, return_inverse=True)
     out = np.zeros((len(texts), profile.dimensions), dtype=np.float64)

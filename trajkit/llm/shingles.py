@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240613)
 _BYTE = _rng.integers(1, _MASK, size=256, dtype=np.uint64)

@@ -14,6 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ UNKNOWN_PENALTY = 10.0
 #: The largest model file that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
 #: Units whose tokens a Python worker remembers, and bytes of text that are encoded together.
-REMEMBERED, SLICE_BYTES = 1 << 18, 1 << 21
+REMEMBERED, SLICE_BYTES = 1 << 17, 1 << 20
 #: Bytes of units that the segmentation takes side by side.
 PLACES = 1 << 19
+#: Units of a long text that are looked up together; a text of more characters is long.
+UNITS = 1 << 20
 
 
 @dataclass
@@ -210,20 +213,19 @@ _UNIT = re.compile(rb"\xff*[^\xff]+|\xff+")
 _OWN = b"\xfe"
 
 
-def units_of(text: str, v: Vocabulary) -> list[bytes]:
-    """The text cut where a marker follows something else than a marker; no piece reaches over such a cut.
+def units_of(text: str, v: Vocabulary) -> Iterator[list[bytes]]:
+    """The text cut where a marker follows something else than a marker, in lists of up to UNITS; no piece reaches over such a cut.
 
     The marker's own character is no marker: it stands alone, and its bytes' pieces stand for it.
     """
-    if not text:
-        return []
-    data = ((" " if v.prefix else "") + text).encode("utf-8", "surrogatepass").replace(b" ", bytes([MARK]))
-    if MARKER not in text:
-        return _UNIT.findall(data)
-    out: list[bytes] = []
-    for i, part in enumerate(data.split(MARKER.encode())):
-        out += [_OWN] * (i > 0) + _UNIT.findall(part)
-    return out
+    data = ((" " if v.prefix and text else "") + text).encode("utf-8", "surrogatepass").replace(b" ", bytes([MARK]))
+    own = MARKER.encode()
+    if own not in data and len(data) <= UNITS:
+        yield _UNIT.findall(data)
+        return
+    found = (u for i, part in enumerate(data.split(own)) for u in chain([_OWN] * (i > 0), (m[0] for m in _UNIT.finditer(part))))
+    while some := list(islice(found, UNITS)):
+        yield some
 
 
 class Encoder:
@@ -233,8 +235,21 @@ class Encoder:
         self.v, self.known = v, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else units_of(t, self.v) for t in texts]
-        met = set().union(*(units for units in cut if units))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        cut: dict[int, list[bytes]] = {}
+        for i, text in enumerate(texts):
+            if text is None:
+                continue
+            if len(text) > UNITS:
+                out[i] = np.concatenate([np.zeros(0, dtype=np.int32), *(x for part in units_of(text, self.v) for x in self._tokens([part]))])
+            else:
+                cut[i] = [u for part in units_of(text, self.v) for u in part]
+        for i, tokens in zip(cut, self._tokens(list(cut.values())), strict=True):
+            out[i] = tokens
+        return out
+
+    def _tokens(self, rows: list[list[bytes]]) -> list[np.ndarray]:
+        met = set().union(*rows)
         new = met - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, met
@@ -243,7 +258,7 @@ class Encoder:
         self.known.update(zip(ordered, best_segmentations(ordered, self.v), strict=True))
         self.known[_OWN] = self.v.byte_id[list(MARKER.encode())].tobytes()
         tokens = self.known.__getitem__
-        return [None if units is None else np.frombuffer(b"".join(map(tokens, units)), dtype=np.int32) for units in cut]
+        return [np.frombuffer(b"".join(map(tokens, units)), dtype=np.int32) for units in rows]
 
 
 class Decoder:
