@@ -209,7 +209,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     discard(apart, regions, rest, *measured)
 
     group = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"))
-    group = group.join(found, "node", "left").select("key1", "key2", "n", F.coalesce("component", "node").alias("component_id"))
+    # Durable, so that both sides of the join are dealt out anew and a class of many copies can be split.
+    group = durable(group.join(found, "node", "left").select("key1", "key2", "n", F.coalesce("component", "node").alias("component_id")))
     some = every.where("n > 0").select("doc_id", "key1", "key2", "n").join(group, ["key1", "key2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
