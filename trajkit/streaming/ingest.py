@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trajkit import schema
 from trajkit.functions import values as v
+from trajkit.shipping import ship_code
 
 
 def stream_trajectories(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -50,6 +51,8 @@ def streak_events(events: DataFrame, limit: int = schema.BLOCKED_STREAK_LIMIT) -
     State is one number per task. Events of a batch are taken by step_index; events must not arrive after later ones.
     """
 
+    ship_code(events.sparkSession)
+
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
         rows = pd.concat(list(parts)).sort_values("step_index")
