@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajkit.shipping import ship_code
+
 #: A word: what stands between the ASCII white-space characters. A fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,7 +25,11 @@ _own_folder: list[str] = []
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold at most ARROW_BYTES: workers that meet long texts stay small."""
+    """df, in a session whose Python workers have this package, and whose Arrow batches hold at most ARROW_BYTES.
+
+    Workers that meet long texts then stay small.
+    """
+    ship_code(df.sparkSession)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(name) == f"{64 << 20}b":  # the default, so that nobody has set it
         df.sparkSession.conf.set(name, str(ARROW_BYTES))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import durable, linked_components
+from trajkit.llm.common import durable, lean, linked_components
 
 #: Sums of so many products of two codes of at most 127 stay below 2^24 and are exact in single precision.
 EXACT_DIMENSIONS = (1 << 24) // (127 * 127)
@@ -93,7 +93,7 @@ def embedding_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embeddin
     null vec_id (component_id and kept are null there). Vectors of different lengths never link. Repeated rows are vectors
     of their own that link. A cosine equal to the threshold links. An empty table stays empty; other columns are not read.
     """
-    spark = vectors.sparkSession
+    lean(vectors)
     rows = durable(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).withColumn("good", usable(F.col("v")) & F.col("vec_id").isNotNull()))
     classes = durable(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     n = classes.count()
