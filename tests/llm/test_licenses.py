@@ -40,3 +40,11 @@ def test_every_notice_of_the_tables_is_found(spark):
         for name in ("MIT", "GPL-3.0", "Apache-2.0", "CC-BY-NC-4.0"):
             if licenses.TEMPLATES[name] in r["text"]:
                 assert (r["doc_id"], name) in found
+
+
+def test_all_rights_reserved_is_found_without_copyright(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"] for r in licenses.scan_licenses(docs).where("confirmed and license = 'rights-reserved'").collect()}
+    planted = {r["doc_id"] for r in docs.collect() if "All rights reserved." in r["text"].split("\n")}
+    assert planted and planted <= found
+    assert licenses.best_template("Copyright. All rights reserved.", licenses.TEMPLATES, 0.8)[0] == "all-rights-reserved"

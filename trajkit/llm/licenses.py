@@ -33,6 +33,7 @@ TEMPLATES = {
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "Copyright. All rights reserved.",
+    "rights-reserved": "All rights reserved.",
 }
 #: Words without which no block is looked at.
 CUES = r"(?i)licen[sc]e|copyright|spdx|creative commons|permission is hereby|redistribution and use|all rights reserved"
