@@ -48,3 +48,41 @@ def test_all_rights_reserved_is_found_without_copyright(spark):
     planted = {r["doc_id"] for r in docs.collect() if "All rights reserved." in r["text"].split("\n")}
     assert planted and planted <= found
     assert licenses.best_template("Copyright. All rights reserved.", licenses.TEMPLATES, 0.8)[0] == "all-rights-reserved"
+
+
+def confirmed(spark, text, **more):
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), **more).where("confirmed").orderBy("start").collect()
+    return [(r["license"], text[r["start"] : r["end"]]) for r in rows]
+
+
+def test_every_notice_of_a_line_is_found(spark):
+    mit, cc = MIT[:-1], licenses.TEMPLATES["CC-BY-NC-4.0"][:-1]
+    assert confirmed(spark, f"{MIT} {cc}.") == [("MIT", mit), ("CC-BY-NC-4.0", cc)]
+    assert confirmed(spark, f"{MIT} {MIT} or {MIT}") == [("MIT", mit)] * 3
+    # The best alignment counts, not that of the first long run of words.
+    assert confirmed(spark, f"Released under the sun; see the license. {MIT.replace('MIT', 'old MIT')}") == [("MIT", "Released under the old MIT License")]
+    every = [(name, text) for name, text in sorted(licenses.TEMPLATES.items())]
+    assert [name for name, _ in confirmed(spark, " ".join(text for _, text in every))] == [name for name, _ in every]
+
+
+def test_alignment_is_the_best_of_all(spark):
+    import random
+    from itertools import combinations
+
+    draw = random.Random(3)
+    for _ in range(150):
+        own = [draw.choice("abc") for _ in range(draw.randint(1, 5))]
+        said = [draw.choice("abcx") for _ in range(draw.randint(1, 7))]
+        prepared = licenses._prepared((("t", " ".join(own)), ("longer", "a b c a b c a")), 0.5)
+        k = prepared.names.index("t")
+        best = len(own)
+        for size in range(1, min(len(own), len(said)) + 1):
+            for left in combinations(range(len(own)), size):
+                for right in combinations(range(len(said)), size):
+                    if [own[i] for i in left] == [said[j] for j in right]:
+                        best = min(best, len(own) - size + right[-1] - right[0] + 1 - size)
+        costs = prepared.costs(said)[:, k]
+        assert costs.min() // prepared.put_in == best
+        pairs = prepared.aligned(k, said[: int(costs.argmin()) + 1])
+        if pairs:
+            assert sum(map(len, prepared.differences(k, pairs, said))) == best
