@@ -86,3 +86,35 @@ def test_alignment_is_the_best_of_all(spark):
         pairs = prepared.aligned(k, said[: int(costs.argmin()) + 1])
         if pairs:
             assert sum(map(len, prepared.differences(k, pairs, said))) == best
+
+
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    templates = licenses.TEMPLATES
+    for width in (24, 40, 80):
+        for mark in ("", " * ", "# ", "// "):
+            texts = [(i, "import x\n" * 60 + "/*\n" + textwrap.fill(text, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False) + "\n*/\n" + "more words\n" * 60) for i, (_, text) in enumerate(templates.items())]
+            rows = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).where("confirmed").collect()
+            assert sorted((r["doc_id"], r["license"], r["differences"]) for r in rows) == [(i, name, "") for i, name in enumerate(templates)]
+            for r in rows:
+                assert [w for w, _, _ in licenses._words(texts[r["doc_id"]][1][r["start"] : r["end"]])] == [w for w, _, _ in licenses._words(templates[r["license"]])]
+    header = "/* " + " ".join(templates[n] for n in ("all-rights-reserved", "BSD-3-Clause", "MIT-notice", "GPL-3.0-notice")) + " */"
+    assert [n for n, _ in confirmed(spark, textwrap.fill(header, 60, subsequent_indent=" * "))] == ["all-rights-reserved", "BSD-3-Clause", "MIT-notice", "GPL-3.0-notice"]
+    extra = LONG.replace("free of charge", "free of any charge or fee at all").split()
+    assert [n for n, _ in confirmed(spark, "\n".join(extra))] == ["MIT-notice"]
+
+
+def test_blocks_hold_every_word_near_a_cue_once():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        said = [draw.choice(["license", *"abcdefghijklmnopqrstuvw"]) for _ in range(draw.randint(0, 60))]
+        reach = draw.randint(1, 6)
+        text = "\n".join(said)
+        near = [i for i in range(len(said)) if "license" in said[max(0, i - reach) : i + reach + 1]]
+        blocks = list(licenses.candidate_blocks(text, reach))
+        words = licenses._words(text)
+        assert [w for block, _ in blocks for w in block] == [words[i] for i in near]
+        assert all([block[p][0] for p in places] == ["license"] * len(places) and places == [i for i, w in enumerate(block) if w[0] == "license"] for block, places in blocks)

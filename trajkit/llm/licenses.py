@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +39,10 @@ TEMPLATES = {
     "all-rights-reserved": "Copyright. All rights reserved.",
     "rights-reserved": "All rights reserved.",
 }
-#: Words without which no block is looked at.
-CUES = r"(?i)licen[sc]e|copyright|spdx|creative commons|permission is hereby|redistribution and use|all rights reserved"
-_WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+#: Words without which no block is looked at; line ends and comment marks may stand between them.
+CUES = r"(?i)licen[sc]e|copyright|spdx|creative[\W_]+commons|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|all[\W_]+rights[\W_]+reserved"
+#: Parts of hyphenated words are words, for lines may end at a hyphen.
+_WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 
 
 def _words(text: str) -> list[tuple[str, int, int]]:
@@ -206,19 +208,35 @@ def notices(text: str, words: list[tuple[str, int, int]], cues: list[int], prepa
                 until = find[3]
 
 
-def candidate_blocks(text: str, longest: int) -> Iterator[tuple[int, int]]:
-    """Spans of text to compare: lines with a cue; a line of many words in overlapping windows that each hold any template whole."""
-    at = 0
-    for line in text.split("\n"):
-        if re.search(CUES, line):
-            words = _words(line)
-            for a in range(0, max(1, len(words)), longest):
-                part = words[a : a + 2 * longest]
-                if part and re.search(CUES, line[part[0][1] : part[-1][2]]):
-                    yield at + part[0][1], at + part[-1][2]
-                if a + 2 * longest >= len(words):
-                    break
-        at += len(line) + 1
+def candidate_blocks(text: str, reach: int) -> Iterator[tuple[list[tuple[str, int, int]], list[int]]]:
+    """(words, places of cues among them): all words of text that have at most reach words between them and a cue.
+
+    Words are taken across line ends and comment marks. Blocks that would touch are one, so no word is in two.
+    """
+    cues = re.finditer(CUES, text)
+    cue = next(cues, None)
+    before, block, places = deque(maxlen=reach), [], []
+    for m in _WORD.finditer(text):
+        word, hit = (m[0].lower(), m.start(), m.end()), False
+        while cue and cue.start() < m.end():
+            cue, hit = next(cues, None), True
+        if places and not hit and len(block) > places[-1] + 2 * reach:
+            yield block[: places[-1] + reach + 1], places
+            before.extend(block[places[-1] + reach + 1 :])
+            block, places = [], []
+        if hit and not places:
+            block = list(before)
+            before.clear()
+        if hit:
+            places.append(len(block))
+        if places:
+            block.append(word)
+        else:
+            if cue is None:
+                break
+            before.append(word)
+    if places:
+        yield block[: places[-1] + reach + 1], places
 
 
 def best_template(block: str, templates: dict[str, str], least: float) -> tuple[str, float, int, int, str, bool] | None:
@@ -241,7 +259,7 @@ def best_template(block: str, templates: dict[str, str], least: float) -> tuple[
 
 
 def _apart(rows: list[tuple]) -> list[tuple]:
-    """Of overlapping finds of one template, which windows may give, the one with the fewest differences."""
+    """Of overlapping finds of one template, which near cues may give, the one with the fewest differences."""
     kept: list[tuple] = []
     for row in sorted(rows, key=lambda r: (not r[5], len(r[4].split()), r[0])):
         if not any(k[2] == row[2] and k[0] < row[1] and row[0] < k[1] for k in kept):
@@ -252,12 +270,12 @@ def _apart(rows: list[tuple]) -> list[tuple]:
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, start, end, license, reduction, differences, confirmed of every candidate block of the whole texts.
 
-    start and end are code points in the text. Nulls, empty texts and texts without a cue have no blocks; very long texts
-    and lines are looked at in windows; of overlapping finds of one template one stays. Repeated rows give repeated
+    start and end are code points in the text. A block is what stands near a cue, over however many lines, wide enough for
+    any template with the extra words that least allows. Nulls, empty texts and texts without a cue have no blocks; of
+    overlapping finds of one template one stays. Repeated rows give repeated
     results, a null id stays null, an empty table gives none; other columns are not read.
     """
     chosen = templates or TEMPLATES
-    longest = max(len(_words(t)) for t in chosen.values())
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +284,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             rows = []
             texts = (t for a, b in row_slices(batch.column(1)) for t in batch.column(1).slice(a, b - a).to_pylist())
             for i, t in enumerate(texts):
-                found = []
-                for a, b in candidate_blocks(t, longest):
-                    block, words = t[a:b], _words(t[a:b])
-                    cues = [k for k, w in enumerate(words) if any(w[1] <= c.start() < w[2] for c in re.finditer(CUES, block))]
-                    found += [(a + f[2], a + f[3], f[0], f[1], f[4], f[5]) for f in notices(block, words, cues, prepared)]
+                found = [(f[2], f[3], f[0], f[1], f[4], f[5]) for words, cues in candidate_blocks(t, prepared.reach) for f in notices(t, words, cues, prepared)]
                 rows += [(i, *row) for row in _apart(found)]
             at = pa.array([r[0] for r in rows], pa.int32())
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_())
