@@ -80,3 +80,14 @@ def test_odd_rows_and_tensors(spark):
         assert isinstance(tensors, pa.FixedShapeTensorArray) and tensors.to_numpy_ndarray().shape == (len(r["spans"]), 16, 32)
         assert r["spans"][0]["start"] == 0 and all(a["start"] < b["start"] < a["end"] for a, b in zip(r["spans"], r["spans"][1:], strict=False))
     assert audio.audio_media(docs.where("false")).count() == 0
+
+
+def test_the_last_bytes_are_heard():
+    length = SETTINGS.window / 16_000
+    for units in range(1, 8):
+        payload = bytes([128]) * (576 * units)
+        whole, spans, _ = audio.features_of(audio.to_wav(payload, 24_000), SETTINGS)
+        other, _, _ = audio.features_of(audio.to_wav(payload[:-12] + bytes(range(0, 240, 20)), 24_000), SETTINGS)
+        seconds = len(payload) / 24_000
+        assert not np.array_equal(whole, other), units
+        assert spans[-1][1] >= seconds and spans[-1][1] - seconds < length

@@ -83,10 +83,11 @@ def resampled(samples: np.ndarray, f: Features) -> np.ndarray:
 
 
 def log_mel(signal: np.ndarray, f: Features) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, mels) natural logs of mel energies, and the energy of each frame; a short signal is filled up to one frame."""
-    count = max(1, 1 + (len(signal) - f.window) // f.hop)
-    if len(signal) < f.window:
-        signal = np.concatenate([signal, np.zeros(f.window - len(signal), dtype=np.float32)])
+    """(frames, mels) natural logs of mel energies, and the energy of each frame; the signal is filled up to a whole last frame."""
+    count = 1 + max(0, -(-(len(signal) - f.window) // f.hop))
+    filled = f.window + (count - 1) * f.hop
+    if len(signal) < filled:
+        signal = np.concatenate([signal, np.zeros(filled - len(signal), dtype=np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(signal, f.window)[:: f.hop][:count]
     shape = np.hanning(f.window + 1)[:-1].astype(np.float32)
     mels, energy = [], []
