@@ -197,6 +197,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of docs, with its columns, that have a language: a letter, and a cosine of least_score or more."""
+    """The rows of docs, with its columns, that have a language: a letter, and a cosine of least_score or more.
+
+    Scores are never below 0, so with the default of 0.0 exactly the nulls and texts without a letter go; texts in no learned
+    language stay. A model without languages keeps nothing.
+    """
     found = identify_languages(docs, model, text=text, lang_pred="_lang_pred", score="_score")
     return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least_score)).select(*[f"`{c}`" for c in docs.columns])
