@@ -83,3 +83,38 @@ def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 164)] + [(3, i) for i in range(4, 40)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in linked_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 165)} | {i: 3 for i in range(3, 40)}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_whose_polynomials_meet_are_apart(spark):
+    word = thue_morse(1024)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, f"x {word}"), (4, f"x {word.translate(str.maketrans('ab', 'ba'))}"), (5, word)]
+    assert run(spark, rows) == brute.jaccard(rows)
+
+
+def test_near_copies_that_do_not_link(spark):
+    # A group around one text: members are linked with some of the others, by way of others, or with none.
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            text[rng.randrange(len(text))] = f"n{rng.randrange(400)}"
+        rows.append((i * 3 % 71, " ".join(text)))
+    for percent in (85, 92):
+        want = brute.jaccard(rows, percent=percent)
+        assert len({c for _, c in want.values()}) > 3
+        assert run(spark, rows, percent=percent) == want
+        assert run(spark, rows, percent=percent, levels=4, region_rows=2) == want
+
+
+def test_representatives_of_odd_rows(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "else"), (4, "else"), (7, ""), (7, ""), (8, "one text here now"), (8, "quite another one there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("_same", F.lit(2)).withColumn("away", F.lit(3))
+    kept = jaccard.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [4, 7, 7, 8, None, None]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BYTES = 4 << 20
 
 _own_folder: list[str] = []
+_deleted_at_end: set[str] = set()
 
 
 def lean(df: DataFrame) -> DataFrame:
     """df, in a session whose Python workers have this package, and whose Arrow batches hold at most ARROW_BYTES.
 
-    Workers that meet long texts then stay small.
+    Workers that meet long texts then stay small. The size of batches is a setting of the session and stays set; one that the
+    caller has chosen is left as it is.
     """
     ship_code(df.sparkSession)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -53,11 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of this process's own is used.
+    Where that is unset and all runs in one process, as in tests, a folder of this process's own is used. Executors of their
+    own would write to their own disks, and the driver would miss their files: there RuntimeError is raised.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
     if not _own_folder:
         keep = tempfile.TemporaryDirectory(prefix="trajkit-")
         atexit.register(keep.cleanup)
@@ -65,20 +72,43 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def _folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; the driver's JVM deletes it when it ends."""
     return f"{shared_folder(spark)}/trajkit/{spark.sparkContext.applicationId}"
 
 
+def delete_at_end(spark: SparkSession) -> None:
+    """Have the driver's JVM delete own_folder() when it ends. The folder must exist."""
+    folder = own_folder(spark)
+    if folder not in _deleted_at_end:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at):
+            _deleted_at_end.add(folder)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all durable tables of this application. Results that were built on them can't be read any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_names(columns: Iterable[str], *names: str) -> list[str]:
+    """names, each with as many underscores before it as keep it apart from columns; Spark compares names without case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends there, whatever executors are lost."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._trajkit_path = path
     return back

@@ -1,24 +1,28 @@
-"""N-gram Jaccard join: pivots, regions, triangle-inequality windows, exact.
-
-Jaccard distance, 1 - |x & y| / |x | y|, is a metric. Unrelated texts are all at distance exactly 1 from each other, and so
-from any pivot: cells around freely chosen pivots would all be one cell. Regions are therefore laid where distances are below
-1. A document lies in the region of each shingle of its prefix, the shingles of lowest order of which a linked document must
-share one; the rest of the plane, at distance 1 or too far, is never paired. Each region has a pivot, its least document, and
-its documents' exact distances to the pivot are computed. Those within the link distance are the pivot's own; the others form
-the region of the next level with a pivot of their own. In the end, documents of one region that links found so far do not
-connect are compared exactly if their distances to the region's pivot differ by no more than the link distance.
+"""N-gram Jaccard join: pivots, Voronoi cells, triangle-inequality windows, regions joined recursively and exactly.
+
+Jaccard distance, 1 - |x & y| / |x | y|, is a metric, and a pair links if its distance is at most r. Texts that share no
+shingle are at distance 1, so pivots are sought where distances are below 1: a list holds the documents that have one shingle
+among the few of lowest order, their prefix, of which a linked pair must share one. Each list elects a pivot, its least
+document, and distances to it are computed exactly. A document goes to the Voronoi cell of the nearest pivot within r; lists
+with many documents that are in no cell yet elect again, level by level. What is within r of no pivot is a cell of its own.
+
+A pair that links and lies in two cells has one member x that is near the other cell's pivot q: with y in the cell, d(x, q) is
+at most d(x, y) + d(y, q), r more than the cell's radius. So each document is measured against the pivots of the other cells
+in its lists, and where the window allows, the boundary document is replicated into q's region. There it is compared with the
+cell's documents y for which d(x, q) - d(y, q) is at most r. Cells of one component are not compared with each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import discard, durable, lean, linked_components, row_slices
+from trajkit.llm.common import WORD, discard, durable, fresh_names, lean, linked_components, row_slices
 from trajkit.llm.shingles import set_key, shingle_sets
 
 
@@ -46,6 +50,11 @@ def _differing(left: str, right: str, longs: int) -> Column:
     return out
 
 
+def _within(differing: Column, n: Column, m: Column, reach: Column) -> Column:
+    """Whether sets of n and m elements, of which only one has at least `differing`, can be at distance reach or less."""
+    return 2 * differing <= reach * (n + m + differing) + 1e-6
+
+
 def common_shingles(docs: DataFrame, text: str, k: int, percent: int, least: int, most: int) -> np.ndarray:
     """Hashes of shingles that stand in the prefixes of `least` documents or more, the most frequent `most` of them.
 
@@ -84,11 +93,10 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, sketch array<bigint>, prefix array<bigint>")
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out."""
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b, reach) that their sketches allow to be at distance reach or less."""
     left, right = (sketches.select(F.col("node").alias(node), F.col("n").alias(f"n{x}"), *[F.col("sketch")[i].alias(f"{x}{i}") for i in range(LONGS)]) for node, x in (("a", "x"), ("b", "y")))
-    limit = (100 + percent) * _differing("x", "y", LONGS) <= (100 - percent) * (F.col("nx") + F.col("ny"))
-    return pairs.join(right, "b").join(left, "a").where(limit).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(_within(_differing("x", "y", LONGS), F.col("nx"), F.col("ny"), F.col("reach"))).select("a", "b")
 
 
 def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -127,12 +135,13 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(measure, "a bigint, b bigint, linked boolean, distance double")
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, levels: int = 2, order_least: int = 12, order_most: int = 1 << 18, broadcast_rows: int = 1 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, levels: int = 3, region_rows: int = 64, order_least: int = 12, order_most: int = 1 << 18, broadcast_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two texts link when 100 * shared >= percent * united shingles.
 
     component_id is the smallest doc_id that links reach, the row's own included. Texts of equal shingle sets are one class,
     and only its least document is compared; links inside what is already connected are not looked for, so a group of copies
-    gives links along stars and never all its pairs.
+    gives links along stars and never all its pairs. Lists of more than region_rows documents without a cell elect pivots up
+    to `levels` times; both change the work and not the result.
 
     Nulls: a null text and one without words have no shingles and link with nothing; rows with a null id get a null
     component_id unless an equal text has an id. Texts of fewer than k words are one shingle. Repeated rows are one class;
@@ -149,64 +158,80 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         sketches = durable(sketches.dropDuplicates(["node", "key1", "key2"]))
     classes = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     rows = classes.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "region"))
-    # Regions of two or more: first by their hashes alone, then with what lies in them.
+    # Lists of two or more: first by their hashes alone, then with what lies in them.
     shared = rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-    regions = durable(rows.join(shared, "region"))
+    lists = durable(rows.join(shared, "region"))
 
+    link = (100 - percent) / 100
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    # In the region of the first shingle they share, two documents have at most what is left of either in common.
+    # In the list of the first shingle they share, two documents have at most what is left of either in common.
     reach = lambda n, at, m, to: (100 + percent) * F.least(n - at, m - to) >= percent * (n + m)
-    links: list[DataFrame] = []
     measured: list[DataFrame] = []
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        """Measure what is possible of pairs, and add it to links and measured."""
+    def links() -> DataFrame:
+        return reduce(DataFrame.union, [m.where("linked").select("a", "b") for m in measured])
+
+    def measure(pairs: DataFrame) -> None:
+        """Add to measured the exact distances of the distinct pairs (a, b, reach), a < b, that may be at distance reach or less."""
         for m in measured:
             pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = durable(_possible(pairs, sketches, percent).distinct())
+        pairs = _possible(pairs, sketches)
+        pairs = durable(pairs.distinct() if repeats else pairs)
         sets = _whole_sets(docs, doc_id, text, k, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), broadcast_rows)
         sets = durable(sets.dropDuplicates() if repeats else sets)
-        out = durable(_measured(pairs, sets, percent).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
+        out = _measured(pairs, sets, percent)
+        if repeats:
+            out = out.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
+        measured.append(durable(out))
         discard(pairs, sets)
-        measured.append(out)
-        links.append(out.where("linked").select("a", "b"))
-        return out
 
-    rest, found, distances = regions, None, None
+    # Pivots, and the cells of what is within link of them.
+    rest, found, made = lists, None, []
     for level in range(levels):
-        pivots = rest.groupBy("region").agg(F.min(F.struct("node", "n", "at")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        pivots = durable(rest.groupBy("region").agg(F.min(F.struct("node", "n", "at")).alias("p"), F.count("*").alias("size")).where("size > 1"))
+        made.append(pivots)
+        if level and (pivots.agg(F.max("size")).first()[0] or 0) <= region_rows:
+            break
         held = rest.join(pivots.select("region", "p"), "region").where(F.col("node") != F.col("p.node"))
         pairs = held.where(near(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        out = measure(pairs)
-        distances = out if level == 0 else distances
-        found = _labels(links)
+        measure(pairs.withColumn("reach", F.lit(link)))
+        found = durable(linked_components(links()))
+        made.append(found)
         if level + 1 < levels:
-            # The next level: what the pivot's component does not hold, under a pivot of its own.
             own = found.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
             left = _labelled(held.withColumn("pivot", F.col("p.node")), found).join(own, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
             rest = durable(left.select("region", "node", "n", "at"))
-
-    # What is still apart inside a region, compared pair by pair where the distances to its pivot allow a link: what its
-    # pivot's component does not hold with everything else in it.
-    pivots = regions.groupBy("region").agg(F.min("node").alias("pivot"))
-    names = _labelled(pivots.select(F.col("pivot").alias("node")).distinct(), found).select(F.col("node").alias("pivot"), F.col("label").alias("main"))
-    pivots = pivots.join(names, "pivot")
-    apart = _labelled(regions, found).join(pivots, "region")
-    several = apart.where("label != main").select("region").distinct()
-    apart = apart.join(several, "region").join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"], "left")
-    half = sketches.select("node", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + LONGS // 2]).alias(f"s{i}") for i in range(LONGS // 2)])
-    apart = apart.join(half, "node").select("region", "node", "n", "at", "label", (F.col("label") == F.col("main")).alias("main"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance"), *half.columns[1:])
-    apart = durable(apart)
-    left, right = (apart.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("label", "node", "n", "at", "main", "distance")], *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(LONGS // 2)]) for side in "lr")
-    window = (100 - percent) / 100 + 1e-9
-    apart_by = F.col("distance_l").isNull() | F.col("distance_r").isNull() | (F.abs(F.col("distance_l") - F.col("distance_r")) <= window)
-    allowed = near(F.col("n_l"), F.col("n_r")) & reach(F.col("n_l"), F.col("at_l"), F.col("n_r"), F.col("at_r")) & apart_by
-    allowed = allowed & ((100 + percent) * _differing("l", "r", LONGS // 2) <= (100 - percent) * (F.col("n_l") + F.col("n_r")))
-    once = F.col("main_r") | (F.col("node_l") < F.col("node_r"))
-    both = left.where("not main_l").join(right, (left["region"] == right["region"]) & (F.col("label_l") != F.col("label_r")) & once & allowed)
-    measure(both.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct())
-    found = durable(_labels(links))
-    discard(apart, regions, rest, *measured)
+            made.append(rest)
+    near_pivots = reduce(DataFrame.union, [m.where("linked").select(F.col("b").alias("node"), F.struct("distance", F.col("a").alias("pivot")).alias("p")) for m in measured])
+    homes = durable(near_pivots.groupBy("node").agg(F.min("p").alias("p")).select("node", F.col("p.pivot").alias("cell"), F.col("p.distance").alias("away")))
+
+    # Each document against the pivots of the other cells in its lists, from the greater cell to the lesser.
+    placed = _labelled(lists, found).join(homes, "node", "left").select("region", "node", "n", "at", "label", F.coalesce("cell", "node").alias("cell"), F.coalesce("away", F.lit(0.0)).alias("away"))
+    several = placed.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("region")
+    placed = durable(placed.join(durable(several), "region"))
+    half = sketches.select("node", F.col("n").cast("int").alias("size"), *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + LONGS // 2]).alias(f"s{i}") for i in range(LONGS // 2)])
+    words = [f"s{i}" for i in range(LONGS // 2)]
+    cells = placed.groupBy("region", "cell").agg(F.max("away").alias("radius"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("left"), F.min("label").alias("label"))
+    cells = durable(cells.join(half.withColumnRenamed("node", "cell"), "cell").select("region", *[F.col(c).alias(f"{c}_q") for c in ("cell", "radius", "fewest", "most", "left", "label", "size")], *[F.col(c).alias(f"q{i}") for i, c in enumerate(words)]))
+    those = durable(placed.join(half.drop("size"), "node").select("region", "node", "n", "at", "label", "cell", *[F.col(c).alias(f"x{i}") for i, c in enumerate(words)]))
+    fits = (100 * F.col("n") >= percent * F.col("fewest_q")) & (100 * F.col("most_q") >= percent * F.col("n")) & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("left_q")) >= percent * (F.col("n") + F.col("fewest_q")))
+    fits = fits & _within(_differing("x", "q", LONGS // 2), F.col("n"), F.col("size_q"), link + F.col("radius_q"))
+    both = those.join(cells, (those["region"] == cells["region"]) & (F.col("cell") > F.col("cell_q")) & (F.col("label") != F.col("label_q")) & fits)
+    pairs = durable(both.groupBy(F.col("cell_q").alias("a"), F.col("node").alias("b")).agg(F.max(link + F.col("radius_q")).alias("reach")))
+    measure(pairs)
+    found = durable(linked_components(links()))
+
+    # The regions: a cell and the boundary documents that the window lets in, those already connected left out.
+    distances = reduce(DataFrame.union, [m.where("not linked").select("a", "b", "distance") for m in measured])
+    boundary = pairs.where(F.col("reach") > link).join(distances, ["a", "b"]).where(F.col("distance") <= F.col("reach") + 1e-9).select(F.col("a").alias("cell"), F.col("b").alias("node"), "distance")
+    boundary = _labelled(boundary, found).join(_labelled(boundary.select(F.col("cell").alias("node")).distinct(), found).select(F.col("node").alias("cell"), F.col("label").alias("label_q")), "cell").where("label != label_q")
+    sizes = sketches.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("low"))
+    boundary = durable(boundary.join(sizes, "node").select("cell", F.col("node").alias("x"), "distance", F.col("n").alias("n_x"), F.col("low").alias("low_x")))
+    inside = homes.join(boundary.select("cell").distinct(), "cell", "left_semi").join(sizes, "node").select("cell", F.col("node").alias("y"), "away", F.col("n").alias("n_y"), F.col("low").alias("low_y"))
+    met = boundary.join(durable(inside), "cell").where((F.col("distance") - F.col("away") <= link + 1e-9) & (100 * F.col("n_x") >= percent * F.col("low_y")) & (100 * F.col("n_y") >= percent * F.col("low_x")))
+    measure(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("reach", F.lit(link)))
+    found = durable(linked_components(links()))
+    discard(lists, placed, cells, those, pairs, homes, boundary, *made, *measured)
 
     group = every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"))
     # Durable, so that both sides of the join are dealt out anew and a class of many copies can be split.
@@ -215,24 +240,27 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return some.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
-def _labels(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    return linked_components(edges)
-
-
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", **parameters) -> DataFrame:
+def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of docs, with its columns, that stand for their component: the one with the smallest id.
 
-    Of repeated rows with that id one stays. Rows without shingles and rows with a null id stay.
+    Where rows with shingles share that id they are of one group, and one of them stays, of the text with the least hash.
+    Rows without shingles and rows with a null id all stay. Columns of any name are kept.
     """
-    found = jaccard_components(docs, doc_id=doc_id, **parameters)
-    away = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_away")).distinct()
-    kept = docs.join(away, F.col(doc_id).cast("long") == F.col("_away"), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").limit(1).count()
-    return kept.dropDuplicates() if twice else kept
+    found = jaccard_components(docs, doc_id=doc_id, text=text, **parameters)
+    gone, same, least = fresh_names(docs.columns, "gone", "same", "least")
+    columns = [f"`{c}`" for c in docs.columns]
+    away = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(away, F.col(f"`{doc_id}`").cast("long") == F.col(gone), "left_anti")
+    twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(same))
+    if not twice.limit(1).count():
+        return kept
+    among = F.col(f"`{doc_id}`").cast("long") == F.col(same)
+    worded = F.coalesce(F.rlike(F.col(f"`{text}`"), F.lit(WORD)), F.lit(False))
+    often = kept.where(worded).join(twice, among, "left_semi").withColumn(least, F.xxhash64(F.col(f"`{text}`")))
+    chosen = often.groupBy(F.col(f"`{doc_id}`").cast("long").alias(same)).agg(F.min(least).alias(gone))
+    often = often.join(chosen, among & (F.col(least) == F.col(gone))).dropDuplicates([same]).select(*columns)
+    return kept.where(~worded).union(kept.where(worded).join(twice, (F.col(f"`{doc_id}`").cast("long") == F.col(same)), "left_anti")).union(often)

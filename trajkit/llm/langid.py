@@ -7,7 +7,7 @@ language whose prototype is nearest by cosine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import lean, row_slices
+from trajkit.llm.common import fresh_names, lean, row_slices
 
 #: Letters fall into so many classes: one for all that is no letter, 26 for a to z, the others by code point.
 CLASSES, BITS = 256, 8
@@ -196,11 +196,15 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "te
     return lean(docs).select(*[f"`{c}`" for c in kept]).mapInArrow(predict, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of docs, with its columns, that have a language: a letter, and a cosine of least_score or more.
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", languages: Collection[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows of docs, with its columns, whose predicted language is one of languages, with a cosine of least_score or more.
 
-    Scores are never below 0, so with the default of 0.0 exactly the nulls and texts without a letter go; texts in no learned
-    language stay. A model without languages keeps nothing.
+    Without languages all that the model has learned count. Nulls and texts without a letter have no language and go. A model
+    without languages can tell nothing apart: docs stay as they are. Columns of any name are kept.
     """
-    found = identify_languages(docs, model, text=text, lang_pred="_lang_pred", score="_score")
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least_score)).select(*[f"`{c}`" for c in docs.columns])
+    if not model.languages:
+        return docs
+    lang, score = fresh_names(docs.columns, "lang_pred", "score")
+    found = identify_languages(docs, model, text=text, lang_pred=lang, score=score)
+    wanted = F.col(lang).isin(*sorted(set(model.languages) if languages is None else set(languages)))
+    return found.where(wanted & (F.col(lang) != "und") & (F.col(score) >= least_score)).select(*[f"`{c}`" for c in docs.columns])
