@@ -76,8 +76,10 @@ def test_odd_rows_and_tensors(spark):
     assert [len(audio.from_wav(bytes(r["media"]))[0]) for r in got] == [576, 576, 576, 576, 1152, 500_544, 576]
     assert got[0]["tensors"] == got[1]["tensors"] and got[3]["tensors"] == got[6]["tensors"] != got[2]["tensors"]
     for r in got:
-        tensors = audio.tensor_array([bytes(r["tensors"])])
+        stored = audio.read_tensors(bytes(r["tensors"]))
+        tensors = stored["mel"].combine_chunks()
         assert isinstance(tensors, pa.FixedShapeTensorArray) and tensors.to_numpy_ndarray().shape == (len(r["spans"]), 16, 32)
+        assert list(zip(stored["start"].to_pylist(), stored["end"].to_pylist(), strict=True)) == [tuple(x) for x in r["spans"]]
         assert r["spans"][0]["start"] == 0 and all(a["start"] < b["start"] < a["end"] for a, b in zip(r["spans"], r["spans"][1:], strict=False))
     assert audio.audio_media(docs.where("false")).count() == 0
 
@@ -91,3 +93,35 @@ def test_the_last_bytes_are_heard():
         seconds = len(payload) / 24_000
         assert not np.array_equal(whole, other), units
         assert spans[-1][1] >= seconds and spans[-1][1] - seconds < length
+
+
+def plain_features(payload, f=SETTINGS):
+    """Tensors' values by one product per output and frame, in double precision."""
+    x = (np.frombuffer(payload, dtype=np.uint8).astype(float) - 128) / 128
+    half, cut, count = f.taps // 2, f.up / f.down, -(-len(x) // f.down) * f.up
+    signal = np.zeros(count + f.window + f.hop)
+    for n in range(count):
+        k = np.arange(max(0, n * f.down // f.up - half), min(len(x), n * f.down // f.up + half + 2))
+        d = k - n * f.down / f.up
+        signal[n] = (x[k] * np.where(np.abs(d) < half, cut * np.sinc(cut * d) * np.cos(np.pi * d / f.taps) ** 2, 0)).sum()
+    frames = 1 + max(0, -(-(count - f.window) // f.hop))
+    power = [np.abs(np.fft.fft(signal[i * f.hop : i * f.hop + f.window] * np.hanning(f.window + 1)[:-1], f.fft))[: f.fft // 2 + 1] ** 2 for i in range(frames)]
+    return np.log(np.array(power) @ audio._mel(f).astype(float) + 1e-10)
+
+
+def test_features_of_the_tables_equal_plain_ones(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 9 = 0")
+    got = audio.audio_media(rows).collect()
+    assert len(got) > 15
+    for r in got:
+        want = plain_features(audio.from_wav(bytes(r["media"]))[0])
+        mel = audio.read_tensors(bytes(r["tensors"]))["mel"].combine_chunks().to_numpy_ndarray().reshape(-1, 32)[: len(want)]
+        assert np.abs(mel - want).max() < 0.02, r["doc_id"]
+
+
+def test_long_signals_in_parts(monkeypatch):
+    media = audio.to_wav(np.random.default_rng(4).integers(0, 256, 576 * 40, dtype=np.uint8).tobytes(), 24_000)
+    whole = audio.features_of(media, SETTINGS)
+    monkeypatch.setattr(audio, "PART", 7)
+    parts = audio.features_of(media, SETTINGS)
+    assert np.abs(whole[0].astype(float) - parts[0]).max() < 0.02 and whole[1] == parts[1] and len(whole[2]) == len(parts[2])

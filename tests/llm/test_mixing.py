@@ -90,3 +90,29 @@ def test_mixed_documents_are_whole_and_follow_the_plan(spark):
         assert r["text"] == texts[r["doc_id"]]
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
     assert all(count.get(i, 0) == int(p["taken"] / p["size"] + 0.5) for i, p in plan.items())
+
+
+def test_points_decide_the_slots(spark, monkeypatch):
+    docs = documents(spark, many({"a": 300, "b": 200, "c": 100, "d": 3}))
+    plan = mixing.mix_sources(docs, block_tokens=16)
+    slots = {r["slot"]: r["src"] for r in plan.schedule.collect()}
+    need = {r["src"]: r["need"] for r in plan.sources.collect()}
+    total = sum(need.values())
+    ends = {s: sum(n for t, n in need.items() if t <= s) * mixing.POINTS // total for s in need}
+    for k in range(total):
+        point = k * mixing.STEP % mixing.POINTS
+        if k in slots:
+            assert slots[k] == min(s for s in ends if point < ends[s])
+    # What is topped up at the end, and what is left out, is the points' discrepancy, which grows with the logarithm.
+    late = sum(1 for k in slots if k >= total)
+    assert late <= len(need) * (1 + total.bit_length()) / 2 and total - sum(1 for k in slots if k < total) <= late
+    row = lambda m: sorted((r["doc_id"], r["first_slot"]) for r in m.documents.collect())
+    usual = row(plan)
+    monkeypatch.setattr(mixing, "STEP", 1)
+    assert row(mixing.mix_sources(docs, block_tokens=16)) != usual
+
+
+def test_mixed_documents_with_clashing_names(spark):
+    docs = documents(spark, many({"a": 20, "b": 9})).withColumns({"words": F.lit("w"), "_words": F.lit("x"), "times": F.lit(1), "Key": F.lit("k"), "number": F.lit(2)})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("words", "_words", "times", "Key", "number").collect()} == {("w", "x", 1, "k", 2)}

@@ -47,3 +47,10 @@ def test_ties_defaults_repeats_and_empty(spark):
     got = urlfilter.judge_urls(pages).collect()
     assert len(got) == 3 and {r["rule"] for r in got} == {"com/"} and {r["page_id"] for r in got} == {None}
     assert urlfilter.judge_urls(pages.where("false")).count() == 0
+
+
+def test_many_paths_of_one_host(spark):
+    rng = random.Random(8)
+    rules = [Rule("block", "h.com", f"/p{i}/") for i in range(900)] + [Rule("allow", "h.com", f"/p{i}/x/y/") for i in range(0, 900, 3)] + [Rule("allow", "com", "/p7/x/"), Rule("block", "a.h.com", "/")]
+    urls = [f"http://{rng.choice(['h.com', 'a.h.com', 'b.c.h.com', 'i.com'])}/p{rng.randrange(1000)}/{rng.choice(['', 'x', 'x/', 'x/y/z', 'q'])}" for _ in range(800)]
+    assert run(spark, urls, rules, rows_per_sweep=64) == {i: judge(u, rules) for i, u in enumerate(urls)}

@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from trajkit.llm import audio, chat, embeddings, jaccard, langid, licenses, mixing, shards, unigram, urlfilter
 from trajkit.llm.common import durable, shared_folder, table
 
 
+#: The vocabulary that the query of SentencePiece encodes with.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = unigram.load_vocabulary(corpus_pipeline.MODEL)
+    model = unigram.load_vocabulary(MODEL)
     out = unigram.encode_texts(docs, model, decode=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -78,6 +81,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py. Neither the language model nor the segmentation is SQL; see tests/llm/test_pipeline.py."""
+    import corpus_pipeline  # it imports this subpackage
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -97,12 +103,23 @@ WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,
 grouped AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 per AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM grouped),
 l0 AS (SELECT 1.5 * sum(source_size) / sum(weight) AS lam FROM per){_rounds},
-goals AS (SELECT source, source_size, CASE WHEN 2.0 * source_size < lam * weight THEN 2.0 * source_size ELSE lam * weight END AS target FROM per, l12),
+goals AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src, CASE WHEN 2.0 * source_size < lam * weight THEN 2.0 * source_size ELSE lam * weight END AS target FROM per, l12),
+needs AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(source_size / 256) AS BIGINT) AS blocks,
+  CASE WHEN source_size = 0 THEN 0 ELSE (CAST(round(target) AS BIGINT) // source_size) * CAST(ceil(source_size / 256) AS BIGINT) + CAST(ceil((CAST(round(target) AS BIGINT) % source_size) / 256) AS BIGINT) END AS need FROM goals),
+laid AS (SELECT *, sum(need) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) AS upto, CAST(sum(need) OVER () AS BIGINT) AS slots FROM needs),
+parts AS (SELECT *, CAST((upto - need) * 2147483648::HUGEINT // slots AS BIGINT) AS low, CAST(upto * 2147483648::HUGEINT // slots AS BIGINT) AS high FROM laid WHERE need > 0),
+points AS (SELECT slot, slot * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(max(slots))) AS slot FROM parts)),
+drawn AS (SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM points JOIN parts ON point >= low AND point < high),
+short AS (SELECT slots + src AS slot, src, unnest(range(coalesce(had, 0), need)) AS rank FROM parts LEFT JOIN (SELECT src AS s, count(*) AS had FROM drawn GROUP BY src) ON s = src),
+schedule AS (SELECT slot, src, (rank % blocks) * 256 AS first, least(goal, ((rank + 1) // blocks) * source_size + ((rank + 1) % blocks) * 256) - ((rank // blocks) * source_size + (rank % blocks) * 256) AS words
+  FROM (SELECT * FROM drawn UNION ALL SELECT * FROM short) JOIN parts USING (src)),
 placed AS (SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15), doc_id NULLS FIRST, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM sized)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(least(size, greatest(0, CAST(round(target) AS BIGINT) - start)) + least(size, greatest(0, CAST(round(target) AS BIGINT) - source_size - start)) AS BIGINT) AS taken
-FROM placed JOIN goals ON placed.source IS NOT DISTINCT FROM goals.source
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM sized),
+lines AS (SELECT doc_id, size, source_size, target, src, start FROM placed JOIN goals ON placed.source IS NOT DISTINCT FROM goals.source),
+met AS (SELECT lines.src, lines.start, lines.doc_id, lines.size, slot, least(start + size, first + words) - greatest(start, first) AS words FROM lines JOIN schedule ON lines.src = schedule.src AND start < first + words AND start + size > first WHERE words > 0),
+sums AS (SELECT src, start, doc_id, size, sum(words) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM met GROUP BY ALL)
+SELECT lines.doc_id, lines.size, source_size, CAST(target AS DOUBLE) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot, coalesce(n_slots, 0) AS n_slots
+FROM lines LEFT JOIN sums ON lines.size > 0 AND lines.src = sums.src AND lines.start = sums.start AND lines.size = sums.size AND lines.doc_id IS NOT DISTINCT FROM sums.doc_id
 """
 
 ORACLE_SQL["op4_chat_formatting"] = r"""
@@ -151,6 +168,3 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CAST(least(d.doc_id, coalesce(least.b, d.doc_id)) AS BIGINT) AS component_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least ON d.doc_id = least.a
 """
-
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
