@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,8 +72,34 @@ def test_long_chains_and_cycles(spark):
     chain = [(1, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(300)]
     row = read(chat.format_trees(messages(spark, chain))).first()
     assert [t["text"] for t in row["turns"]] == [str(i) for i in range(300)]
-    with pytest.raises(ValueError, match="cycle"):
-        chat.format_trees(messages(spark, [(1, 1, 2, "user", "", 0.0), (1, 2, 1, "user", "", 0.0), (1, 3, 2, "user", "", 0.0)]))
+    cycles = [(1, 1, 2, "user", "", 0.0), (1, 2, 1, "user", "", 0.0), (1, 3, 2, "user", "", 0.0), (1, 4, None, "user", "", 0.0), (2, 1, None, "user", "fine", 0.0), (None, 1, 2, "user", "", 0.0), (None, 2, 3, "user", "", 0.0), (None, 3, 1, "user", "", 0.0)]
+    table = messages(spark, cycles)
+    assert [(r["tree"], r["formatted"]) for r in chat.format_trees(table).collect()] == [(2, "<turn>user<turn|>fine</turn>")]
+    assert {r["tree"] for r in chat.lifted(table.select("tree", "node", "parent", F.lit(0.0).alias("value")))[2].collect()} == {1, None}
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, 1, None, "user", "hi", 1.0)] * 3 + [(1, 2, 1, "assistant", "b", 0.5), (1, 2, 1, "assistant", "a", 0.1), (1, 2, None, "assistant", "z", 0.1)]
+    got = read(chat.format_trees(messages(spark, rows), best=5)).orderBy("rank").collect()
+    # The row without a parent is the least: a second root.
+    assert [[t["text"] for t in r["turns"]] for r in got] == [["hi"], ["z"]]
+
+
+def test_best_branches_equal_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for tree in range(6):
+        for n in range(rng.choice([1, 5, 40])):
+            rows.append((tree, n, rng.randrange(n) if n and rng.random() < 0.95 else None, rng.choice(["user", "assistant"]), f"{tree}.{n}", rng.choice([0.0, 0.25, 0.5, None])))
+    value = {(r[0], r[1]): r[5] or 0.0 for r in rows}
+    want = {}
+    for (tree, leaf), path in plain_paths(rows).items():
+        want.setdefault(tree, []).append((-sum(value[tree, n] for n in path) / len(path), leaf, path))
+    got = {}
+    for r in read(chat.format_trees(messages(spark, rows), score="score", best=3)).orderBy("tree", "rank").collect():
+        got.setdefault(r["tree"], []).append((-r["score"], r["leaf"], [int(t["text"].split(".")[1]) for t in r["turns"]]))
+    assert got == {t: sorted(x)[:3] for t, x in want.items()}
 
 
 def test_nulls_ties_and_empty(spark):

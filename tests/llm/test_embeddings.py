@@ -29,7 +29,29 @@ def near_copies(rng, groups, dimensions):
 
 def test_equals_brute_force_over_several_tiles(spark):
     rows = near_copies(np.random.default_rng(1), 60, 24)
-    assert run(spark, rows, tile_rows=40) == plain(rows) == run(spark, rows)
+    assert run(spark, rows, tile_rows=40) == plain(rows) == run(spark, rows) == run(spark, rows, pivots=0, tile_rows=100)
+
+
+def test_query_equals_brute_force(spark):
+    from trajkit.llm import queries
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.op3_embedding_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == plain(rows)
+
+
+def test_pairs_the_codes_leave_open(spark):
+    # Pairs at the threshold but for some 1e-7: neither code can tell.
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(40):
+        x, y = rng.normal(size=(2, 24))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        for c in (0.95 - 1e-6, 0.95 + 1e-6):
+            rows += [(len(rows) + i, [float(v) for v in w]) for i, w in enumerate((x, c * x + np.sqrt(1 - c * c) * y))]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert run(spark, rows) == plain(rows)
 
 
 def test_bound_is_never_broken():

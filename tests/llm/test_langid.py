@@ -10,10 +10,10 @@ TABLES = "/root/testdata/sf0.01"
 
 def plain_vector(text, profile):
     """The bundle of a text, gram by gram."""
-    table, letters = langid._letter_class(), langid._letters(profile).astype(int)
-    kinds = [0, *(int(table[ord(c)]) for c in text or ""), 0]
+    kinds = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""), 0]
     kinds = [k for i, k in enumerate(kinds) if k or not i or kinds[i - 1]]
     kinds += [0] if kinds[-1] else []
+    letters = {k: langid.letter_vectors(np.array([k]), profile)[0].astype(int) for k in set(kinds)}
     out = np.zeros(profile.dimensions, dtype=int)
     for a, b, c in zip(kinds, kinds[1:], kinds[2:], strict=False):
         if b:
@@ -22,7 +22,7 @@ def plain_vector(text, profile):
 
 
 def test_vectors_equal_the_plain_sum():
-    texts = ["Hello, world", None, "", "1 2 3", "é", "a", "ab  cd\n\n9x", "ÀB ß", " x"]
+    texts = ["Hello, world", None, "", "1 2 3", "é", "a", "ab  cd\n\n9x", "ÀB ß", " x", "日本語 ひらがな", "русский"]
     got = langid.text_vectors(texts, langid.Profile())
     for text, vector in zip(texts, got, strict=True):
         assert (vector == plain_vector(text, langid.Profile())).all(), text
@@ -71,3 +71,43 @@ def test_empty_tables(spark):
     model = langid.learn_languages(docs)
     assert langid.identify_languages(docs, model).count() == 0
     assert langid.identify_languages(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first()["lang_pred"] == "und"
+
+
+def test_letters_have_vectors_of_their_own():
+    letters = np.array([0, *range(97, 123), 0xE9, 0x3B1, 0x439, 0x65E5, 0x672C, *range(0x4E00, 0x4F00)])
+    vectors = langid.letter_vectors(letters, langid.Profile()).astype(int)
+    products = vectors @ vectors.T - np.eye(len(letters), dtype=int) * langid.Profile().dimensions
+    assert set(np.unique(vectors)) == {-1, 1} and np.abs(products).max() < 160
+
+
+def test_query_equals_brute_force(spark):
+    from trajkit.llm import queries
+
+    # Fewer documents than texts_per_language: every labelled one that isn't held out is learned from.
+    sf, profile = "/root/testdata/sf0.001", langid.Profile()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    vectors = {r["doc_id"]: plain_vector(r["text"], profile).astype(float) for r in docs}
+    sums = {}
+    for r in docs:
+        v = vectors[r["doc_id"]]
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] is not None and v.any():
+            sums[r["lang"]] = sums.get(r["lang"], 0) + np.rint(v / np.sqrt(v @ v) * (1 << 20))
+    names = sorted(sums)
+    for r in queries.op5_language_id(spark, sf).collect():
+        v = vectors[r["doc_id"]]
+        cosines = [float(sums[n] @ v / np.sqrt((sums[n] @ sums[n]) * (v @ v))) if v.any() else 0.0 for n in names]
+        assert r["held_out"] == held[r["doc_id"]]
+        assert r["lang_pred"] == (names[int(np.argmax(cosines))] if v.any() else "und")
+        assert abs(r["score"] - max(0.0, max(cosines))) < 1e-9
+
+
+def test_stage_without_labels_or_with_clashing_names(spark):
+    rows = [(1, "hello there", None), (2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("mine"), "Score": F.lit(3)})
+    assert langid.keep_identified(docs, langid.learn_languages(docs)).count() == 2
+    model = langid.learn_languages(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour tous", "fr")], "doc_id long, text string, lang string"))
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and [(r["doc_id"], r["lang_pred"], r["Score"]) for r in kept.collect()] == [(1, "mine", 3)]
+    assert langid.keep_identified(docs, model, languages=["fr"]).count() == 0
+    assert langid.keep_identified(docs, model, least_score=1.1).count() == 0

@@ -118,3 +118,32 @@ def test_blocks_hold_every_word_near_a_cue_once():
         words = licenses._words(text)
         assert [w for block, _ in blocks for w in block] == [words[i] for i in near]
         assert all([block[p][0] for p in places] == ["license"] * len(places) and places == [i for i, w in enumerate(block) if w[0] == "license"] for block, places in blocks)
+
+
+def test_identifiers_are_found(spark):
+    text = "#!/bin/sh\n# SPDX-License-Identifier: MIT\nx = 1\n// SPDX-License-Identifier: GPL-3.0-or-later\n" + "words " * 40 + "* SPDX-License-Identifier: Apache-2.0"
+    assert [n for n, _ in confirmed(spark, text)] == ["SPDX:MIT", "SPDX:GPL-3.0-or-later", "SPDX:Apache-2.0"]
+
+
+def test_query_equals_brute_force(spark):
+    from trajkit.llm import queries
+
+    # Every place of every text where a whole template stands word by word, unless a longer one holds it.
+    sf = "/root/testdata/sf0.001"
+    templates = {n: [w for w, _, _ in licenses._words(t)] for n, t in licenses.TEMPLATES.items()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = set()
+    for i, text in texts.items():
+        words = licenses._words(text or "")
+        said = [w for w, _, _ in words]
+        places = [(a, a + len(t), n) for n, t in templates.items() for a in range(len(said) - len(t) + 1) if said[a : a + len(t)] == t]
+        want |= {(i, words[a][1], words[b - 1][2], n) for a, b, n in places if not any((c <= a and b <= d) and (c, d) != (a, b) for c, d, _ in places)}
+    rows = queries.op6_license_scan(spark, sf).collect()
+    got = {(r["doc_id"], r["start"], r["end"], r["license"]) for r in rows if r["confirmed"] and not r["differences"]}
+    assert want and got == want
+    for r in rows:
+        if r["confirmed"]:
+            changed = r["differences"].split()
+            own, said = list(templates[r["license"]]), [w for w, _, _ in licenses._words(texts[r["doc_id"]][r["start"] : r["end"]])]
+            assert (len(own) - len(changed)) / len(own) >= 0.8
+            assert sorted(own + [c[1:] for c in changed if c[0] == "+"]) == sorted(said + [c[1:] for c in changed if c[0] == "-"])

@@ -44,5 +44,67 @@ def test_versions_are_committed_once_and_whole(spark, tmp_path):
 def test_empty_tables_and_clashing_names(spark, tmp_path):
     store = shard_documents(table(spark, []), f"file://{tmp_path}/s", arrivals=2)
     assert store.read().count() == 0
+    docs = table(spark, [(1, "a")]).withColumns({"shard": F.lit(1), "Shard_": F.lit("x"), "arrival": F.lit(2)})
+    got = shard_documents(docs, f"file://{tmp_path}/t", arrivals=2).read()
+    assert got.columns == [*docs.columns, "_shard"] and got.select("doc_id", "shard", "arrival").collect() == [(1, 1, 2)]
+
+
+def test_columns_that_come_later_stay(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=2)
+    for i in range(3):
+        store.append(table(spark, [(i, "a")], 1))
+        store.append(table(spark, [(i + 10, "b")], 1).withColumn("lang", F.lit("en")))
+    with pytest.raises(ValueError):
+        store.append(table(spark, [(1, "a")], 1).withColumn("lang", F.lit(1)))
     with pytest.raises(ValueError):
-        shard_documents(table(spark, [(1, "a")]).withColumn("shard", F.lit(1)), f"file://{tmp_path}/t")
+        store.append(table(spark, [(1, "a")], 1).withColumnRenamed("text", "Text"))
+    store.compact()
+    store.vacuum()
+    assert len(store.shards()[1]) == 1
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in store.read().collect()) == [(i, "a", None) for i in range(3)] + [(i + 10, "b", "en") for i in range(3)]
+
+
+def test_late_writers_commit_on_top(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=2)
+    store.append(table(spark, [(1, "a")], 1))
+    store.append(table(spark, [(2, "b")], 1))
+    other, written = ShardStore(spark, f"file://{tmp_path}/s", fan_in=2), store._written
+
+    def meanwhile(df):
+        out = written(df)
+        if "done" not in seen:
+            seen.append("done")
+            other.append(table(spark, [(3, "c")], 1))
+        return out
+
+    seen = []
+    store._written = meanwhile
+    store.append(table(spark, [(4, "d")], 1))
+    seen.clear()
+    store.compact()
+    assert sorted(r["doc_id"] for r in store.read().collect()) == [1, 2, 3, 3, 4]
+
+
+def test_orphans_are_vacuumed(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(table(spark, [(1, "a")], 1))
+    table(spark, [(3, "lost")], 1).write.parquet(f"{tmp_path}/s/data/lost")
+    (tmp_path / "s/manifests/.half").write_text("{")
+    store.vacuum()
+    assert (tmp_path / "s/data/lost").exists()
+    store.vacuum(orphan_ms=0)
+    assert not (tmp_path / "s/data/lost").exists() and not (tmp_path / "s/manifests/.half").exists()
+    assert store.read().count() == 1
+
+
+def test_query_equals_brute_force(spark):
+    import hashlib
+
+    from trajkit.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(r["doc_id"], r["lang"], r["source"], r["n_chars"], sha(r["text"]), int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) % 4) for r in docs]
+    got = queries.op7_sharding(spark, sf).select("doc_id", "lang", "source", "n_chars", "text_sha256", "arrival").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

@@ -117,3 +117,77 @@ def test_models_that_lose_text_are_refused():
     model.normalizer_spec.remove_extra_whitespaces = True
     with pytest.raises(ValueError):
         unigram.read_model(model.SerializeToString())
+
+
+def test_long_units_equal_short_ones(vocabulary, monkeypatch):
+    rng, v = random.Random(4), vocabulary
+    texts = ["".join(rng.choices("abehinorst日本語のはé😀", k=rng.randint(1, 90))) for _ in range(60)] + ["日本語" * 30, "QUJD" * 40, "😀" * 20]
+    units = [b"\xff" + t.encode() for t in texts]
+    short = unigram.best_segmentations(units, v)
+    monkeypatch.setattr(unigram, "LONG", 0)
+    for window in (5, 16, 1 << 16):
+        monkeypatch.setattr(unigram, "WINDOW", window)
+        assert unigram.best_segmentations(units, v) == short
+
+
+def test_speed_and_memory_without_spaces(vocabulary):
+    import base64
+    import time
+
+    rng = random.Random(9)
+    encoder = unigram.Encoder(vocabulary)
+    for text in ("".join(rng.choices([chr(c) for c in range(0x3041, 0x3090)] + list("日本語東京国会"), k=60_000)), base64.b64encode(rng.randbytes(120_000)).decode()):
+        began = time.perf_counter()
+        ids = encoder.encode([text])[0]
+        assert time.perf_counter() - began < 5
+        assert decoded(ids, vocabulary) == text
+    for i in range(40):
+        encoder.encode([" ".join(f"w{i}x{j}" * 5 for j in range(10_000))])
+    assert encoder.held < unigram.REMEMBERED + (8 << 20) and all(len(u) <= unigram.MOST_REMEMBERED for u in encoder.known)
+
+
+def test_query_equals_brute_force(spark):
+    import hashlib
+
+    from trajkit.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    v = unigram.read_model(unigram.load_vocabulary(queries.MODEL))
+    by = {}
+    for i, b in enumerate(v.bytes_of):
+        if b and i not in set(v.byte_id):
+            by.setdefault(b.replace(b" ", b"\xff"), i)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {}
+
+    def tokens(unit):
+        text = unit.decode("utf-8", "surrogateescape")
+        best, way = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + 24) + 1):
+                number = by.get(text[i:j].encode("utf-8", "surrogateescape"))
+                if number is not None and best[i] + v.scores[number] > best[j]:
+                    best[j], way[j] = best[i] + v.scores[number], (i, [number])
+            if text[i].encode("utf-8", "surrogateescape") not in by and best[i] + v.unknown_score > best[i + 1]:
+                best[i + 1], way[i + 1] = best[i] + v.unknown_score, (i, [int(v.byte_id[c]) for c in text[i].encode("utf-8", "surrogateescape")])
+        out, at = [], len(text)
+        while at:
+            at, some = way[at]
+            out[:0] = some
+        return out
+
+    def plain(text):
+        out = []
+        for n, part in enumerate((" " * bool(v.prefix and text) + text).split("\u2581")):
+            out += [int(v.byte_id[c]) for c in "\u2581".encode()] * (n > 0)
+            for m in unigram._UNIT.finditer(part.encode().replace(b" ", b"\xff")):
+                if m[0] not in known:
+                    known[m[0]] = tokens(m[0])
+                out += known[m[0]]
+        return out
+
+    for r in queries.op8_sentencepiece(spark, sf).collect():
+        text = texts[r["doc_id"]]
+        ids = plain(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_chars"] == len(text) and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()

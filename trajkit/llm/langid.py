@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from trajkit.llm.common import fresh_names, lean, row_slices
 
-#: Letters fall into so many classes: one for all that is no letter, 26 for a to z, the others by code point.
-CLASSES, BITS = 256, 8
 #: Bytes of text that are counted together.
 SLICE_BYTES = 1 << 20
 #: Characters of a text beyond which it is counted in parts.
@@ -35,46 +33,58 @@ class Profile:
 
 
 @lru_cache(maxsize=1)
-def _letter_class() -> np.ndarray:
-    """Class of each code point: 0 for what is no letter, a to z (either case) 1 to 26, other letters 27 and up by code point."""
-    table = np.zeros(0x110000, dtype=np.uint8)
+def _letter() -> np.ndarray:
+    """The letter of each code point: 0 for what is no letter, else the code point of its lower case."""
+    table = np.zeros(0x110000, dtype=np.int32)
     for point in range(0x110000):
-        if 0xD800 <= point < 0xE000 or not (char := chr(point)).isalpha():
-            continue
-        low = char.lower()[0]
-        table[point] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) * 2654435761 % (1 << 32) % (CLASSES - 27)
+        if not 0xD800 <= point < 0xE000 and (char := chr(point)).isalpha():
+            table[point] = ord(char.lower()[0])
     return table
 
 
-@lru_cache(maxsize=4)
-def _letters(profile: Profile) -> np.ndarray:
-    return np.random.default_rng(profile.seed).choice(np.array([-1, 1], dtype=np.int8), size=(CLASSES, profile.dimensions))
+def letter_vectors(letters: np.ndarray, profile: Profile) -> np.ndarray:
+    """The random vectors of +1 and -1 of letters, from bits that a letter's code point and the seed give: (letters, dimensions)."""
+    words = -(-profile.dimensions // 64)
+    x = letters.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(profile.seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return (2 * bits[:, : profile.dimensions].astype(np.int8) - 1).astype(np.int8)
 
 
-def gram_vectors(grams: np.ndarray, profile: Profile) -> np.ndarray:
-    """The bound vectors of trigrams, given as their three classes in one number."""
-    letters = _letters(profile)
-    return np.roll(letters, 2, axis=1)[grams >> 2 * BITS] * np.roll(letters, 1, axis=1)[grams >> BITS & CLASSES - 1] * letters[grams & CLASSES - 1]
+def gram_vectors(first: np.ndarray, middle: np.ndarray, last: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigrams, given as their letters' places in the rows of letters."""
+    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[middle] * letters[last]
 
 
-def count_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigram, count) of all trigrams of letters and word boundaries; runs of other characters are one boundary."""
+def count_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, trigram, count) of all trigrams of letters and word boundaries, the letters, and each trigram's three places among these.
+
+    Runs of other characters are one boundary, letter 0.
+    """
     joined = "\0".join(["", *(t or "" for t in texts), ""])
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
-    kinds = _letter_class()[points]
+    kinds = _letter()[points]
     # Texts' numbers from the places where they begin: lengths are in code points, and so are the places.
     starts = np.cumsum([1, *(len(t or "") + 1 for t in texts)])
     keep = (kinds[:-1] != 0) | (kinds[1:] != 0)
     keep = np.append(keep, True)
     keep[starts - 1] = True
     places = np.flatnonzero(keep)
-    kinds = kinds[places].astype(np.int64)
+    used = np.zeros(0x110000, dtype=bool)
+    used[0] = True
+    used[kinds[places]] = True
+    letters = np.flatnonzero(used)
+    number = np.zeros(0x110000, dtype=np.int64)
+    number[letters] = np.arange(len(letters))
+    kinds, n = number[kinds[places]], len(letters)
     # A boundary stays before each letter; a second one where two stand side by side makes a gram without a letter in the middle.
     text = np.searchsorted(starts, places, side="right") - 1
     middle = kinds[1:-1] != 0
-    grams = (kinds[:-2] << 2 * BITS | kinds[1:-1] << BITS | kinds[2:])[middle]
-    found, count = np.unique(text[1:-1][middle] << 3 * BITS | grams, return_counts=True)
-    return found >> 3 * BITS, found & (1 << 3 * BITS) - 1, count
+    own, gram = np.unique(((kinds[:-2] * n + kinds[1:-1]) * n + kinds[2:])[middle], return_inverse=True)
+    found, count = np.unique(text[1:-1][middle] * max(1, len(own)) + gram, return_counts=True)
+    grams = np.stack([own // n // n, own // n % n, own % n])
+    return found // max(1, len(own)), found % max(1, len(own)), count, letters, grams
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -97,12 +107,11 @@ def text_vectors(texts: list[str | None], profile: Profile) -> np.ndarray:
 
 
 def _bundled(texts: list[str | None], profile: Profile) -> np.ndarray:
-    row, gram, count = count_grams(texts)
-    own, column = np.unique(gram, return_inverse=True)
+    row, column, count, letters, grams = count_grams(texts)
     out = np.zeros((len(texts), profile.dimensions), dtype=np.float64)
-    if not len(own):
+    if not grams.shape[1]:
         return out
-    vectors = gram_vectors(own, profile).astype(np.float32)
+    vectors = gram_vectors(*grams, letter_vectors(letters, profile)).astype(np.float32)
     for start in range(0, len(texts), 256):
         a, b = np.searchsorted(row, [start, start + 256])
         used, at = np.unique(column[a:b], return_inverse=True)

@@ -39,6 +39,9 @@ TEMPLATES = {
     "all-rights-reserved": "Copyright. All rights reserved.",
     "rights-reserved": "All rights reserved.",
 }
+#: Identifiers of the SPDX list that source files name in one line. Fixed values.
+SPDX = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES |= {f"SPDX:{i}": f"SPDX-License-Identifier: {i}" for i in SPDX}
 #: Words without which no block is looked at; line ends and comment marks may stand between them.
 CUES = r"(?i)licen[sc]e|copyright|spdx|creative[\W_]+commons|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|all[\W_]+rights[\W_]+reserved"
 #: Parts of hyphenated words are words, for lines may end at a hyphen.

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajkit.llm import audio, chat, embeddings, jaccard, langid, licenses, mixing, shards, unigram, urlfilter
-from trajkit.llm.common import durable, shared_folder, table
+from trajkit.llm.common import delete_at_end, durable, own_folder, table
 
 
 #: The vocabulary that the query of SentencePiece encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Arrivals that the query of sharding takes the documents in.
+ARRIVALS = 4
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
@@ -59,10 +63,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark)}/shards/{uuid.uuid4().hex}"
-    store = shards.shard_documents(table(spark, sf_dir, "documents"), root, target_bytes=64 << 20)
-    version, _ = store.shards()
-    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", F.lit(version).cast("long").alias("version"))
+    root = f"{own_folder(spark)}/shards/{uuid.uuid4().hex}"
+    store = shards.shard_documents(table(spark, sf_dir, "documents"), root, arrivals=ARRIVALS, target_bytes=64 << 20)
+    delete_at_end(spark)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), shards.arrival(F.col("doc_id"), ARRIVALS))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +138,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 FROM e GROUP BY conv_id
 """
 
+ORACLE_SQL["op7_sharding"] = """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 4 AS arrival FROM documents
+"""
+
 ORACLE_SQL["op9_url_filter"] = r"""
 WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 q AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from trajkit.llm.common import fresh_names
 
 
 @dataclass(frozen=True)
@@ -28,9 +33,14 @@ class ShardStore:
     """A set of Parquet shards below one folder that all executors share.
 
     Writers put new files into a folder of their own and then commit a manifest that lists all live shards as version n + 1:
-    the manifest is written beside and renamed into place, which fails where that version exists. A reader sees one version
-    whole or not at all; a task or executor that is lost leaves files that no manifest names. Manifests hold a path and a
-    size per shard: the driver's share grows with the number of files, not of rows.
+    the manifest is written beside and renamed into place, which fails where that version exists; a writer that comes too
+    late looks at the newer version and commits on top of it. The rename must be atomic, as it is on HDFS and local disks; a
+    store without such a rename needs a file system in front of it that has one. A reader sees one version whole or not at
+    all; a task or executor that is lost leaves files that no manifest names, which vacuum() deletes.
+
+    A manifest holds the schema and a path and a size per shard: the driver's share grows with the number of files, not of
+    rows. Arrivals may bring new columns; older rows hold null there. A column whose type differs, or whose name differs only
+    by case, is refused with ValueError before anything is written.
     """
 
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 512 << 20, fan_in: int = 4, merges_per_job: int = 64):
@@ -50,25 +60,33 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs().listStatus(self._path("manifests"))]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def shards(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """(version, its live shards); the newest version unless one is named, 0 and none for an empty store."""
+    def _manifest(self, version: int | None) -> dict:
         known = self.versions()
         version = version if version is not None else (known[-1] if known else 0)
         if not version:
-            return 0, []
+            return {"version": 0, "schema": StructType([]).jsonValue(), "shards": []}
         stream = self._fs().open(self._path(f"manifests/v{version:010d}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return version, [Shard(**s) for s in json.loads(text)["shards"]]
+        return json.loads(text)
+
+    def shards(self, version: int | None = None) -> tuple[int, list[Shard]]:
+        """(version, its live shards); the newest version unless one is named, 0 and none for an empty store."""
+        found = self._manifest(version)
+        return found["version"], [Shard(**s) for s in found["shards"]]
+
+    def schema(self, version: int | None = None) -> StructType:
+        return StructType.fromJson(self._manifest(version)["schema"])
 
-    def commit(self, version: int, shards: list[Shard]) -> int:
-        """Make shards the live ones of version, atomically; CommitConflict if it exists."""
+    def commit(self, version: int, shards: list[Shard], schema: StructType | None = None) -> int:
+        """Make shards the live ones of version, atomically; CommitConflict if it exists. The schema stays unless one is given."""
+        schema = self.schema() if schema is None else schema
         fs, aside, place = self._fs(), self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{version:010d}.json")
         out = fs.create(aside, False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray(json.dumps({"version": version, "schema": schema.jsonValue(), "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self._conf)
@@ -90,10 +108,21 @@ class ShardStore:
         files = [(s.getPath().getName(), s.getLen()) for s in self._fs().listStatus(self._path(folder))]
         return [Shard(f"{folder}/{name}", size) for name, size in sorted(files) if name.endswith(".parquet")]
 
+    def _rebased(self, change: Callable[[list[Shard]], list[Shard]], arriving: StructType | None = None) -> int:
+        """Commit what change makes of the newest version's shards, again on top of each version that others commit first."""
+        while True:
+            version, live = self.shards()
+            held = self.schema()
+            try:
+                return self.commit(version + 1, change(live), held if arriving is None else merged_schema(held, arriving))
+            except CommitConflict:
+                continue
+
     def append(self, arrivals: DataFrame) -> int:
         """Add arrivals as small shards, as many as df has partitions; a new version."""
-        version, live = self.shards()
-        return self.commit(version + 1, live + self._written(arrivals))
+        merged_schema(self.schema(), arrivals.schema)  # refuses before anything is written
+        new = self._written(arrivals)
+        return self._rebased(lambda live: live + new, arrivals.schema)
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge. Shards below target are of tier floor(log_fan_in(size)); a tier with fan_in shards is cut into runs of about target."""
@@ -119,22 +148,31 @@ class ShardStore:
         return [r for r in runs if len(r) > 1]
 
     def compact(self) -> int:
-        """Merge tiers, smallest first, until none has fan_in shards. Each round is a job without a shuffle: a task merges one run."""
+        """Merge tiers, smallest first, until none has fan_in shards. Each round is a job without a shuffle: a task merges one run.
+
+        A merge whose shards another writer has merged meanwhile is dropped; the rest is planned anew.
+        """
         while True:
             version, live = self.shards()
-            runs = self.plan(live)
+            runs, schema = self.plan(live), self.schema(version)
             if not runs:
                 return version
-            schema = self.spark.read.parquet(f"{self.root}/{live[0].path}").schema
             merged = []
             for a in range(0, len(runs), self.per_job):
                 parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1) for run in runs[a : a + self.per_job]]
                 merged += self._written(reduce(DataFrame.union, parts))
             gone = {s.path for run in runs for s in run}
-            self.commit(version + 1, [s for s in live if s.path not in gone] + merged)
 
-    def vacuum(self) -> None:
-        """Delete shards and manifests that the newest version does not name. Readers of older versions must be done."""
+            def change(now: list[Shard], gone: set[str] = gone, merged: list[Shard] = merged) -> list[Shard]:
+                return [s for s in now if s.path not in gone] + merged if gone <= {s.path for s in now} else now
+
+            self._rebased(change)
+
+    def vacuum(self, orphan_ms: int = 24 * 3_600_000) -> None:
+        """Delete shards and manifests that the newest version does not name, and what dead writers left orphan_ms ago or earlier.
+
+        Readers of older versions must be done; writers must commit within orphan_ms of their first file.
+        """
         version, live = self.shards()
         fs, named = self._fs(), {s.path for s in live}
         for v in self.versions():
@@ -143,26 +181,48 @@ class ShardStore:
                     if s.path not in named:
                         fs.delete(self._path(s.path), False)
                 fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
+        until = int(time.time() * 1000) - orphan_ms
+        folders = {p.rsplit("/", 1)[0] for p in named}
+        for kind in ("data", "manifests"):
+            for s in fs.listStatus(self._path(kind)) if fs.exists(self._path(kind)) else []:
+                name = f"{kind}/{s.getPath().getName()}"
+                if name not in folders and (kind == "data" or name.startswith("manifests/.")) and s.getModificationTime() <= until:
+                    fs.delete(s.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, with the shard of each in `shard`; None for an empty store."""
-        _, live = self.shards(version)
+        """The rows of a version, with the file of each in `shard`, or in a name with underscores before it that no column has; None for an empty store."""
+        version, live = self.shards(version)
         if not live:
             return None
-        return self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in live]).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        schema = self.schema(version)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in live])
+        return rows.withColumn(fresh_names(schema.names, "shard")[0], F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+def merged_schema(held: StructType, arriving: StructType) -> StructType:
+    """held with the columns that arriving has besides; ValueError where types differ, or names only by case."""
+    fields = {f.name.lower(): f for f in held}
+    for f in arriving:
+        known = fields.setdefault(f.name.lower(), StructField(f.name, f.dataType, True))
+        if known.name != f.name or known.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()} meets {known.name} {known.dataType.simpleString()}")
+    return StructType(list(fields.values()))
+
+
+def arrival(doc_id: Column, arrivals: int) -> Column:
+    """The arrival of a document, from 0, by a digest of its id."""
+    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % arrivals).alias("arrival")
 
 
 def shard_documents(docs: DataFrame, root: str, *, doc_id: str = "doc_id", arrivals: int = 4, target_bytes: int = 512 << 20, fan_in: int = 4) -> ShardStore:
     """Put docs into a new store at root, in arrivals chosen by a hash of doc_id, compacting after each.
 
-    Every row arrives once, whatever its columns hold: null ids, null, empty or very long texts, repeated rows. An empty
-    table gives shards without rows. A column named shard is refused with ValueError, as read() adds one.
+    Every row arrives once, whatever its columns hold: null ids, null, empty or very long texts, repeated rows, names that
+    clash. An empty table gives shards without rows.
     """
-    if "shard" in docs.columns:
-        raise ValueError("a column is named shard")
     store = ShardStore(docs.sparkSession, root, target_bytes=target_bytes, fan_in=fan_in)
     for i in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64(F.lit("arrival"), F.col(doc_id)), F.lit(arrivals)) == i))
+        store.append(docs.where(arrival(F.col(f"`{doc_id}`"), arrivals) == i))
         store.compact()
         store.vacuum()
     return store

@@ -30,8 +30,10 @@ MARK = 0xFF
 UNKNOWN_PENALTY = 10.0
 #: The largest model file that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
-#: Units whose tokens a Python worker remembers, and bytes of text that are encoded together.
-REMEMBERED, SLICE_BYTES = 1 << 17, 1 << 20
+#: Bytes of units and tokens that a Python worker remembers, the longest unit that it does, and bytes of text that are encoded together.
+REMEMBERED, MOST_REMEMBERED, SLICE_BYTES = 1 << 25, 64, 1 << 20
+#: Units of more bytes are segmented by themselves, so many bytes at a time.
+LONG, WINDOW = 512, 1 << 16
 #: Bytes of units that the segmentation takes side by side.
 PLACES = 1 << 19
 #: Units of a long text that are looked up together; a text of more characters is long.
@@ -130,9 +132,10 @@ def _width(first: np.ndarray) -> np.ndarray:
 
 def best_segmentations(units: list[bytes], v: Vocabulary) -> list[bytes]:
     """The tokens of each unit by Viterbi, as the bytes of 32-bit numbers, many units side by side; of equal sums the one whose last pieces start earliest."""
-    out = [b""] * len(units)
+    out = [_segment_long(u, v) if len(u) > LONG else b"" for u in units]
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] <= LONG]
     ascending, start = sizes[order].tolist(), 0
     while start < len(ascending):
         # Units of like length, about PLACES places at a time.
@@ -208,6 +211,71 @@ def _segment(units: list[bytes], sizes: np.ndarray, v: Vocabulary) -> tuple[byte
     return number.astype(np.int32).tobytes(), (4 * np.searchsorted(unit, np.arange(n + 1))).tolist()
 
 
+def _matches(text: np.ndarray, count: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, id) of every piece that starts at one of the first count places of text, by start: all places walk the trie at once."""
+    who, state, found = np.arange(count), np.zeros(count, dtype=np.int32), []
+    for k in range(v.longest):
+        inside = who + k < len(text)
+        who, state = who[inside], state[inside]
+        if not len(who):
+            break
+        base = v.base[state]
+        step = base + text[who + k]
+        going = (step < len(v.check)) & (base > 0)
+        going &= v.check[np.minimum(step, len(v.check) - 1)] == state
+        who, state = who[going], step[going]
+        ends = np.flatnonzero(v.piece[state] >= 0)
+        found.append((who[ends], who[ends] + k + 1, v.piece[state[ends]]))
+    start, end, number = (np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in range(3))
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order], number[order]
+
+
+def _segment_long(unit: bytes, v: Vocabulary) -> bytes:
+    """The tokens of one long unit, by the same rule. Pieces are found for a window of places at once; then sums go from place to place.
+
+    Beside two numbers per byte, for the way back, only a window is held.
+    """
+    raw = np.frombuffer(unit, dtype=np.uint8)
+    total = len(raw)
+    came, token = np.zeros(total + 1, dtype=np.int64), np.full(total + 1, -1, dtype=np.int32)
+    none = float("-inf")
+    carried, reach = [0.0], max(v.longest, 4)
+    for low in range(0, total, WINDOW):
+        high = min(total, low + WINDOW)
+        start, end, number = _matches(raw[low : high + v.longest], high - low, v)
+        single = np.zeros(high - low, dtype=bool)
+        width = np.minimum(_width(raw[low:high]).astype(np.int64), total - low - np.arange(high - low))
+        single[start[end - start == width[start]]] = True
+        ends, numbers, scores = end.tolist(), number.tolist(), v.scores[number].tolist()
+        offsets = np.searchsorted(start, np.arange(high - low + 1)).tolist()
+        widths, singles = width.tolist(), single.tolist()
+        best = carried + [none] * (high - low + reach + 1 - len(carried))
+        from_, by = [-1] * len(best), [-1] * len(best)
+        for at in range(high - low):
+            here = best[at]
+            if here == none:
+                continue
+            for x in range(offsets[at], offsets[at + 1]):
+                to, sum_ = ends[x], here + scores[x]
+                if sum_ > best[to]:
+                    best[to], from_[to], by[to] = sum_, at, numbers[x]
+            if not singles[at]:
+                to, sum_ = at + widths[at], here + v.unknown_score
+                if sum_ > best[to]:
+                    best[to], from_[to], by[to] = sum_, at, -1
+        step = np.array(from_[: total - low + 1], dtype=np.int64)
+        new = np.flatnonzero(step >= 0)
+        came[low + new], token[low + new] = low + step[new], np.array(by, dtype=np.int32)[new]
+        carried = best[high - low :]
+    out, place = [], total
+    while place:
+        begin = int(came[place])
+        out.append([int(token[place])] if token[place] >= 0 else v.byte_id[raw[begin:place]].tolist())
+        place = begin
+    return np.array([x for some in reversed(out) for x in some], dtype=np.int32).tobytes()
+
+
 _UNIT = re.compile(rb"\xff*[^\xff]+|\xff+")
 #: The unit that stands for the marker's own character.
 _OWN = b"\xfe"
@@ -232,7 +300,7 @@ class Encoder:
     """Encodes texts with a memory of units that it has met."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+        self.v, self.known, self.held = v, {}, 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -251,14 +319,20 @@ class Encoder:
     def _tokens(self, rows: list[list[bytes]]) -> list[np.ndarray]:
         met = set().union(*rows)
         new = met - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, met
+        if self.held > REMEMBERED:
+            self.known, self.held, new = {}, 0, met
         new.discard(_OWN)
         ordered = list(new)
         self.known.update(zip(ordered, best_segmentations(ordered, self.v), strict=True))
         self.known[_OWN] = self.v.byte_id[list(MARKER.encode())].tobytes()
         tokens = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(tokens, units)), dtype=np.int32) for units in rows]
+        out = [np.frombuffer(b"".join(map(tokens, units)), dtype=np.int32) for units in rows]
+        for unit in ordered:
+            if len(unit) > MOST_REMEMBERED:
+                del self.known[unit]
+            else:
+                self.held += 2 * len(unit) + 200  # with what Python adds to two byte strings
+        return out
 
 
 class Decoder:
@@ -297,7 +371,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text:
     """doc_id, ids of every row: the tokens of the whole text; with decode also decoded, the text that the ids stand for.
 
     A null text has null ids, an empty one none. Very long texts are encoded whole, word by word; repeated words are looked
-    up. Repeated rows give equal ids, a null id stays null, an empty table stays empty; other columns are not read.
+    up, and words of any length, as in text without spaces, are segmented in windows. Repeated rows give equal ids, a null id stays null, an empty table stays empty; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_MODEL_BYTES
     kind = docs.schema[doc_id].dataType.simpleString()
