@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.llm import brute
 from trajkit.llm import unigram
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -153,39 +154,8 @@ def test_query_equals_brute_force(spark):
 
     sf = "/root/testdata/sf0.001"
     v = unigram.read_model(unigram.load_vocabulary(queries.MODEL))
-    by = {}
-    for i, b in enumerate(v.bytes_of):
-        if b and i not in set(v.byte_id):
-            by.setdefault(b.replace(b" ", b"\xff"), i)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    known = {}
-
-    def tokens(unit):
-        text = unit.decode("utf-8", "surrogateescape")
-        best, way = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
-        for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + 24) + 1):
-                number = by.get(text[i:j].encode("utf-8", "surrogateescape"))
-                if number is not None and best[i] + v.scores[number] > best[j]:
-                    best[j], way[j] = best[i] + v.scores[number], (i, [number])
-            if text[i].encode("utf-8", "surrogateescape") not in by and best[i] + v.unknown_score > best[i + 1]:
-                best[i + 1], way[i + 1] = best[i] + v.unknown_score, (i, [int(v.byte_id[c]) for c in text[i].encode("utf-8", "surrogateescape")])
-        out, at = [], len(text)
-        while at:
-            at, some = way[at]
-            out[:0] = some
-        return out
-
-    def plain(text):
-        out = []
-        for n, part in enumerate((" " * bool(v.prefix and text) + text).split("\u2581")):
-            out += [int(v.byte_id[c]) for c in "\u2581".encode()] * (n > 0)
-            for m in unigram._UNIT.finditer(part.encode().replace(b" ", b"\xff")):
-                if m[0] not in known:
-                    known[m[0]] = tokens(m[0])
-                out += known[m[0]]
-        return out
-
+    plain = brute.PlainEncoder(v, unigram._UNIT).encode
     for r in queries.op8_sentencepiece(spark, sf).collect():
         text = texts[r["doc_id"]]
         ids = plain(text)

@@ -205,15 +205,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "te
     return lean(docs).select(*[f"`{c}`" for c in kept]).mapInArrow(predict, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", languages: Collection[str] | None = None, least_score: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", languages: Collection[str] | None = None, least_score: float = 0.0, least_letters: int = 0) -> DataFrame:
     """The rows of docs, with its columns, whose predicted language is one of languages, with a cosine of least_score or more.
 
-    Without languages all that the model has learned count. Nulls and texts without a letter have no language and go. A model
+    Without languages all that the model has learned count. Texts of fewer than least_letters letters are too short for a
+    score to tell much: they keep what is predicted. Nulls and texts without a letter have no language and go. A model
     without languages can tell nothing apart: docs stay as they are. Columns of any name are kept.
     """
     if not model.languages:
         return docs
     lang, score = fresh_names(docs.columns, "lang_pred", "score")
     found = identify_languages(docs, model, text=text, lang_pred=lang, score=score)
-    wanted = F.col(lang).isin(*sorted(set(model.languages) if languages is None else set(languages)))
-    return found.where(wanted & (F.col(lang) != "und") & (F.col(score) >= least_score)).select(*[f"`{c}`" for c in docs.columns])
+    wanted = F.col(lang).isin(*sorted(set(model.languages) if languages is None else set(languages))) & (F.col(lang) != "und")
+    short = F.length(F.regexp_replace(F.col(f"`{text}`"), r"\P{L}+", "")) < least_letters
+    return found.where(wanted & ((F.col(score) >= least_score) | short)).select(*[f"`{c}`" for c in docs.columns])
