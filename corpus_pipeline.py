@@ -16,10 +16,18 @@ from trajkit.llm.common import durable, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Texts of at least so many letters whose cosine to the nearest language is below LEAST_SCORE are in none of the languages.
+#: Random letters reach 0.1, and texts of that length in a language that was learned hardly ever less than 0.4.
+LEAST_SCORE, LEAST_LETTERS = 0.15, 200
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, those whose text is null or has no letter, go. The model is learned from docs."""
+    """Documents that are in none of the languages that the table is labelled with go, and those without a letter or a text.
+
+    The model is learned from docs; a table without labels stays as it is.
+    """
     model = langid.learn_languages(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.keep_identified(docs, model)
+    return langid.keep_identified(docs, model, least_score=LEAST_SCORE, least_letters=LEAST_LETTERS)
 
 
 def join_by_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
