@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: JSON texts of what counts as false: null, false, zero, and empty strings, lists and objects.
+_FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0+)?([eE][+-]?\d+)?)$'
 #: Kinds that compare with a number.
 _NUMBER_OR_BOOLEAN = "^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
 
@@ -37,7 +39,7 @@ def kind(value: Column) -> Column:
 
 def text(value: Column) -> Column:
     """The string, NULL for every other kind."""
-    return let(value, lambda x: F.when(kind(x) == "STRING", get(x, "", "string")))
+    return F.when(kind(value) == "STRING", get(value, "", "string"))
 
 
 def items(value: Column) -> Column:
@@ -55,18 +57,7 @@ def is_list(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """False for missing, null, false, zero, and empty strings, lists and objects."""
-    def by_kind(x: Column) -> Column:
-        return (
-            F.when(x["kind"].isin("VOID", "OBJECT<>"), False)
-            .when(x["kind"] == "BOOLEAN", get(x["value"], "", "boolean"))
-            .when(x["kind"] == "STRING", get(x["value"], "", "string") != "")
-            .when(F.startswith(x["kind"], F.lit("ARRAY")), F.size(items(x["value"])) > 0)
-            .when(F.startswith(x["kind"], F.lit("OBJECT")), True)
-            .otherwise(F.coalesce(get(x["value"], "", "double") != 0, F.lit(True)))
-        )
-
-    found = let(value, lambda y: let(F.struct(y.alias("value"), kind(y).alias("kind")), lambda x: F.when(x["value"].isNull(), False).otherwise(by_kind(x))))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(~F.rlike(F.to_json(value), F.lit(_FALSY)), F.lit(False))
 
 
 def is_true(value: Column) -> Column:
@@ -76,7 +67,7 @@ def is_true(value: Column) -> Column:
 
 def equals_one(value: Column) -> Column:
     """1, 1.0 or true; the string "1" is none of these."""
-    return let(value, lambda x: F.coalesce(F.rlike(kind(x), F.lit(_NUMBER_OR_BOOLEAN)) & (get(x, "", "double") == 1.0), F.lit(False)))
+    return F.coalesce(F.rlike(kind(value), F.lit(_NUMBER_OR_BOOLEAN)) & (get(value, "", "double") == 1.0), F.lit(False))
 
 
 def as_text(value: Column) -> Column:

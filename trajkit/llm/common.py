@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajkit.shipping import ship_code
+from trajkit.sources.scratch import delete_at_end, own_folder
 
 #: A word: what stands between the ASCII white-space characters. A fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,9 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one batch between Spark and a Python worker.
 ARROW_BYTES = 4 << 20
 
-_own_folder: list[str] = []
-_deleted_at_end: set[str] = set()
-
 
 def lean(df: DataFrame) -> DataFrame:
     """df, in a session whose Python workers have this package, and whose Arrow batches hold at most ARROW_BYTES.
@@ -53,39 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Where that is unset and all runs in one process, as in tests, a folder of this process's own is used. Executors of their
-    own would write to their own disks, and the driver would miss their files: there RuntimeError is raised.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
-    if not _own_folder:
-        keep = tempfile.TemporaryDirectory(prefix="trajkit-")
-        atexit.register(keep.cleanup)
-        _own_folder.append(f"file://{keep.name}")
-    return _own_folder[0]
-
-
-def own_folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder; the driver's JVM deletes it when it ends."""
-    return f"{shared_folder(spark)}/trajkit/{spark.sparkContext.applicationId}"
-
-
-def delete_at_end(spark: SparkSession) -> None:
-    """Have the driver's JVM delete own_folder() when it ends. The folder must exist."""
-    folder = own_folder(spark)
-    if folder not in _deleted_at_end:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at):
-            _deleted_at_end.add(folder)
-
-
 def clear(spark: SparkSession) -> None:
     """Delete all durable tables of this application. Results that were built on them can't be read any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

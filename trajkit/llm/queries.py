@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajkit.llm import audio, chat, embeddings, jaccard, langid, licenses, mixing, shards, unigram, urlfilter
-from trajkit.llm.common import delete_at_end, durable, own_folder, table
+from trajkit.llm.common import durable, table
+from trajkit.sources.scratch import delete_at_end, own_folder
 
 
 #: The vocabulary that the query of SentencePiece encodes with.

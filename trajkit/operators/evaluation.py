@@ -78,6 +78,11 @@ def acceptance_totals(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count("*").alias("total"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
+def distinct_counts(rows: DataFrame) -> DataFrame:
+    """The exact number of distinct values of each column."""
+    return rows.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in rows.columns])
+
+
 def retention_curve(lengths: DataFrame, limits: tuple[int, ...], length: str = "n_tokens") -> DataFrame:
     """Exact quantiles of lengths and how many rows each limit keeps."""
     c = F.col(length)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,21 +68,20 @@ def capped_steps(events: DataFrame, max_steps: int, trajectory: str = "task_id",
     return events.withColumn("_n", F.row_number().over(Window.partitionBy(trajectory).orderBy(*order))).where(F.col("_n") <= max_steps).drop("_n")
 
 
-def accept_until(rows: DataFrame, target: int, order: str = "ordinal", buckets: int = 256) -> DataFrame:
+def accept_until(rows: DataFrame, target: int, order: str = "ordinal") -> DataFrame:
     """Rows, in order, up to the one with which `accepted` reaches target, with running, the accepted ones so far.
 
-    Rows are cut into ranges by order; the sums of the ranges before and a window inside each range give the running total,
-    so that no task sees all rows. The cuts only share out the work.
+    order is any column that sorts, a scan's ordinal included. The rows are sorted in ranges; the sums of the ranges before
+    and a window inside each give the running total, so that no task sees all rows. Ranges are the sort's partitions: the rows
+    are kept while both are made, so that a range means the same rows in both.
     """
-    cuts = rows.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001) if rows.schema[order].dataType.typeName() in ("long", "integer", "double") else []
-    cuts = sorted(set(cuts))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_part", part)
-    sums = rows.groupBy("_part").agg(F.count_if("accepted").alias("_sum"))
+    laid = rows.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    sums = laid.groupBy("_part").agg(F.count_if("accepted").alias("_sum"))
     sums = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(F.broadcast(sums), "_part").withColumn("running", F.col("_before") + F.sum(F.col("accepted").cast("long")).over(inside))  # at most `buckets` rows
-    return rows.where(F.col("running") - F.col("accepted").cast("long") < target).drop("_part", "_before")
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = laid.join(F.broadcast(sums), "_part").withColumn("running", F.col("_before") + F.sum(F.col("accepted").cast("long")).over(inside))  # one row a range
+    return laid.where(F.col("running") - F.col("accepted").cast("long") < target).drop("_part", "_before", "_at")
 
 
 def resume_plan(tasks: DataFrame, completed: DataFrame, attempts: int, key: str = "task_id") -> DataFrame:

@@ -79,11 +79,12 @@ def reject_reasons(t: Column) -> Column:
     Whole-trajectory reasons come first, then messages with several calls, then each step's: its first failed check, and
     whether it does something else than select, buy or think after an option was selected.
     """
-    lists = F.struct(v.items(v.get(t, "steps")).alias("steps"), v.let(v.items(v.get(t, "messages")), message_views).alias("views"))
-    return v.let(lists, lambda x: _reasons(t, x["steps"], x["views"]))
+    return F.concat(whole_reasons(t), part_reasons(v.items(v.get(t, "steps")), v.items(v.get(t, "messages"))))
 
 
-def _reasons(t: Column, steps: Column, views: Column) -> Column:
+def whole_reasons(t: Column) -> Column:
+    """The reasons that concern the trajectory as a whole. Outside of lambdas, so that code is generated for it."""
+    steps = v.items(v.get(t, "steps"))
     terminal, detail = v.get(t, "terminal_result"), v.get(t, "terminal_result.reward_detail")
     bought = F.exists(steps, lambda s: F.coalesce(v.text(v.get(s, "tool_name")) == "buy_now", F.lit(False)) | F.coalesce(v.text(v.get(s, "env_action")) == "click[Buy Now]", F.lit(False)))
     complete = v.is_object(detail)
@@ -98,6 +99,15 @@ def _reasons(t: Column, steps: Column, views: Column) -> Column:
         F.when(~complete, "reward_detail_incomplete"),
         *[F.when(complete & ~v.equals_one(v.get(detail, key)), f"reward_detail.{key}_not_1") for key in schema.REWARD_KEYS],
     ]
+    return F.array_compact(F.array(*whole))
+
+
+def part_reasons(steps: Column, messages: Column) -> Column:
+    """The reasons that concern single messages and steps. Each message is looked at once."""
+    return v.let(message_views(messages), lambda views: _part_reasons(steps, views))
+
+
+def _part_reasons(steps: Column, views: Column) -> Column:
     several = F.transform(views, lambda m, i: F.when((m["role"] == "assistant") & (F.size(m["calls"]) > 1), F.concat(F.lit("message_"), i.cast("string"), F.lit(".multiple_tool_calls"))))
     # Element i of the steps is after a selection if the first one stands before it.
     chosen = F.array_position(F.transform(steps, lambda s: F.coalesce(v.text(v.get(s, "tool_name")) == "select_option", F.lit(False))), True)
@@ -108,7 +118,7 @@ def _reasons(t: Column, steps: Column, views: Column) -> Column:
         prefix = F.concat(F.lit("step_"), i.cast("string"), F.lit("."))
         return F.array(F.concat(prefix, reason), F.when(late, F.concat(prefix, F.lit("action_after_option_selection"))))
 
-    return F.array_compact(F.concat(F.array(*whole), several, F.flatten(v.let(chosen, lambda c: F.transform(steps, lambda s, i: of_step(s, i, c))))))
+    return F.array_compact(F.concat(several, F.flatten(v.let(chosen, lambda c: F.transform(steps, lambda s, i: of_step(s, i, c))))))
 
 
 def judged(rows: DataFrame, trajectory: str = "trajectory") -> DataFrame:

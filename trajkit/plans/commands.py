@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def build_sft_data(spark: SparkSession, raw: str, accepted: str, rejected: str,
     reasons = {r["reason"]: r["n"] for r in evaluation.reject_reason_counts(rows).orderBy("reason").collect()}
     rows.unpersist()
     summary = {"total": total["total"], "accepted": total["accepted"], "rejected": total["rejected"], "reject_reasons": reasons, "retain_teacher_reasoning": bool(retain_reasoning)}
-    jsonl.write_summary(stats, summary)
+    jsonl.write_summary(spark, stats, summary)
     return summary
 
 
@@ -78,9 +78,9 @@ def create_benchmark(spark: SparkSession, tasks: str, used: str, path: str, size
 
 
 def freeze_benchmark(spark: SparkSession, parent: str, path: str, about_path: str, size: int) -> dict:
-    rows, about = splits.frozen_prefix(jsonl.read_task_ids(spark, parent), Path(parent).name, size, jsonl.sha256_file(parent))
+    rows, about = splits.frozen_prefix(jsonl.read_task_ids(spark, parent), str(parent).rstrip("/").rpartition("/")[2], size, jsonl.sha256_path(spark, parent))
     _write_manifest(rows, path, "task_id")
-    jsonl.write_summary(about_path, about)
+    jsonl.write_summary(spark, about_path, about)
     return about
 
 
@@ -96,7 +96,7 @@ def evaluate_benchmark(spark: SparkSession, manifest: str, runs: str, path: str,
     facts.unpersist()
     if protocol is not None:
         summary["protocol"] = protocol
-    jsonl.write_summary(path, summary)
+    jsonl.write_summary(spark, path, summary)
     return summary
 
 
@@ -113,19 +113,32 @@ def select_candidates(spark: SparkSession, candidates: str, probes: str, path: s
     runs = jsonl.read_jsonl(spark, probes, "trajectory").select("ordinal", v.get(t, "task_id", "long").alias("task_id"), v.get(t, "status", "string").alias("status"), F.size(v.items(v.get(t, "steps"))).alias("steps"))
     rows, report = splits.stratified_sample(jsonl.read_task_ids(spark, candidates), runs, targets, seed, order=order)
     _write_manifest(rows, path, "task_id", "probe_steps", "length_bucket")
-    jsonl.write_summary(about_path, report)
+    jsonl.write_summary(spark, about_path, report)
     return report
 
 
-def prepare_rl_dataset(spark: SparkSession, tasks: str, instructions: DataFrame, path: str, system: str, environment: str, split: str = "train") -> None:
-    """Prompt records in manifest order as Parquet; instructions are (task_id, instruction), and a task without one fails the job."""
+def prepare_rl_dataset(spark: SparkSession, tasks: str, instructions: DataFrame | Callable[[DataFrame], DataFrame], path: str, system: str, environment: str, split: str = "train") -> None:
+    """Prompt records in manifest order as Parquet; a task without an instruction fails the job.
+
+    instructions are (task_id, instruction), or what makes them of the manifest (ordinal, task_id): a plug-in that asks an
+    environment, say by mapInPandas or a data source of its own.
+    """
     ids = jsonl.read_task_ids(spark, tasks)
-    numbered = ids.withColumn("index", F.row_number().over(Window.orderBy("ordinal")) - 1)  # a manifest of ids, not of data
-    rows = numbered.join(instructions, "task_id", "left").orderBy("index")
+    instructions = instructions if isinstance(instructions, DataFrame) else instructions(ids)
+    rows = numbered(ids, "index").join(instructions, "task_id", "left").orderBy("index")
     record = replay.rl_record(F.col("task_id"), F.col("instruction"), system, split, F.col("index"), environment)
     rows.select(record.alias("r")).select("r.*").write.mode("overwrite").parquet(path)
 
 
+def numbered(rows: DataFrame, name: str, ordinal: str = "ordinal") -> DataFrame:
+    """rows with their place from 0 by ordinal, ranges of the order side by side: no task sees them all."""
+    laid = rows.orderBy(ordinal).withColumn("_at", F.monotonically_increasing_id()).persist()
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    starts = laid.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_start"))  # one row a range
+    return laid.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
+
+
 def plan_collection(spark: SparkSession, tasks: str, raw: str, attempts: int, limit: int | None = None) -> DataFrame:
     """The attempts that a collection still has to run."""
     rows = splits.first_tasks(jsonl.read_tasks(spark, tasks), limit).select("ordinal", "task_id")

@@ -12,25 +12,10 @@ from pyspark.sql import functions as F
 from trajkit import schema
 from trajkit.functions import actions
 from trajkit.functions import values as v
-from trajkit.operators import evaluation, replay, sft, splits, tokens, trajectories
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema.configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from trajkit.operators import evaluation, replay, splits, tokens, trajectories
+from trajkit.plans import files, trips  # noqa: F401  they register queries, too
+from trajkit.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
+from trajkit.plans.registered import table as _table
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as one run of its user's task."""
@@ -45,12 +30,15 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS_SQL = """runs AS (SELECT event_id AS ordinal, user_id AS task_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'max_steps' END AS status, event_type = 'purchase' AS done,
   event_type = 'purchase' AND event_id % 3 = 0 AS strict, event_id % 2 = 0 AS r_type, event_id % 3 = 0 AS r_att, event_id % 4 = 0 AS r_option, event_id % 5 = 0 AS r_price, floor(value) AS final_reward, event_id % 40 AS steps, event_type, props FROM events),
-expected AS (SELECT range AS task_id FROM range(0, 200) UNION ALL SELECT range FROM range(0, 5)),
+ids AS (SELECT DISTINCT user_id AS task_id FROM events),
+expected AS (SELECT task_id FROM ids UNION ALL SELECT task_id FROM ids WHERE task_id % 40 = 0 UNION ALL SELECT -1 - task_id FROM ids WHERE task_id % 25 = 3),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ordinal DESC) AS k FROM runs WHERE task_id IN (SELECT task_id FROM expected)) WHERE k = 1)"""
 
 
-def _expected(spark: SparkSession) -> DataFrame:
-    return spark.range(200).union(spark.range(5)).withColumnRenamed("id", "task_id")
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest: every user, some of them twice, and some ids that have no events."""
+    ids = _table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id")).distinct()
+    return ids.union(ids.where("task_id % 40 = 0")).union(ids.where("task_id % 25 = 3").select((-1 - F.col("task_id")).alias("task_id")))
 
 
 def _share_sql(condition: str) -> str:
@@ -64,26 +52,26 @@ SELECT (SELECT count(*) FROM expected) AS expected_tasks, count(*) FILTER (ran)
   sum(final_reward) / CAST(count(*) FILTER (ran) AS DOUBLE) AS mean_final_reward, CAST(sum(steps) AS DOUBLE) / CAST(count(*) FILTER (ran) AS DOUBLE) AS average_steps FROM b, n""")
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last run of each expected task, over all expected tasks."""
-    out = evaluation.benchmark_summary(_expected(spark), _runs(spark, sf_dir))
+    out = evaluation.benchmark_summary(_expected(spark, sf_dir), _runs(spark, sf_dir))
     return out.withColumn("missing_tasks", F.array_join("missing_tasks", ",")).withColumn("strict_success_task_ids", F.array_join("strict_success_task_ids", ","))
 
 
 @query(f"WITH {_RUNS_SQL} SELECT status, count(*) AS n FROM last GROUP BY status")
 def status_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4."""
-    return evaluation.status_counts(evaluation.last_runs(_runs(spark, sf_dir), _expected(spark)))
+    return evaluation.status_counts(evaluation.last_runs(_runs(spark, sf_dir), _expected(spark, sf_dir)))
 
 
 @query(f"WITH {_RUNS_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(['blocked', props]) AS reason FROM last WHERE event_type = 'error') GROUP BY reason")
 def guard_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
-    return evaluation.guard_reason_counts(evaluation.last_runs(_runs(spark, sf_dir), _expected(spark)))
+    return evaluation.guard_reason_counts(evaluation.last_runs(_runs(spark, sf_dir), _expected(spark, sf_dir)))
 
 
 @query(f"WITH {_RUNS_SQL} SELECT DISTINCT task_id FROM expected WHERE task_id NOT IN (SELECT task_id FROM last)")
 def missing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3, U1."""
-    return splits.held_out_pool(_expected(spark), _runs(spark, sf_dir))
+    return splits.held_out_pool(_expected(spark, sf_dir), _runs(spark, sf_dir))
 
 
 @query("SELECT user_id AS task_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
@@ -94,11 +82,11 @@ def lww_vs_fww(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("task_id", F.col("event_type").alias("first_type")).join(last.select("task_id", F.col("event_type").alias("last_type")), "task_id")
 
 
-@query("SELECT user_id AS task_id, count(*) AS n, avg(CAST(event_id % 2 AS DOUBLE)) AS mean_reward, max(event_id % 2) = 0 AS all_zero, min(event_id % 2) = 1 AS all_one FROM events GROUP BY user_id")
+@query("SELECT user_id AS task_id, count(*) AS n, avg(CAST(event_id % 2 AS DOUBLE)) AS mean_reward, max(event_id % 2) = 0 AS all_zero, min(event_id % 2) = 1 AS all_one, round(var_pop(CAST(event_id % 2 AS DOUBLE)), 9) AS var_reward FROM events GROUP BY user_id")
 def group_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).cast("double").alias("reward"))
-    return evaluation.group_rewards(rows).drop("var_reward")
+    return evaluation.group_rewards(rows).withColumn("var_reward", F.round("var_reward", 9))
 
 
 @query("SELECT DISTINCT doc_id AS task_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND doc_id NOT IN (SELECT item_id FROM benchmark WHERE item_id IS NOT NULL)")
@@ -153,12 +141,35 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.first_probes(probes, probes)
 
 
-@query(f"""WITH {_FIRST_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY length_bucket ORDER BY sha256('7:' || length_bucket || ':' || task_id::VARCHAR), task_id) AS k FROM p WHERE eligible)
-SELECT CAST(row_number() OVER (ORDER BY sha256('7:final-order:' || task_id::VARCHAR), task_id) - 1 AS INTEGER) AS ordinal, task_id, probe_steps, length_bucket FROM c WHERE k <= CASE length_bucket WHEN 'medium' THEN 1 ELSE 2 END""")
+@query(f"""WITH {_FIRST_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY length_bucket ORDER BY sha256('7:' || length_bucket || ':' || task_id::VARCHAR), task_id) AS k, count(*) OVER (PARTITION BY length_bucket) AS n FROM p WHERE eligible)
+SELECT CAST(row_number() OVER (ORDER BY sha256('7:final-order:' || task_id::VARCHAR), task_id) - 1 AS INTEGER) AS ordinal, task_id, probe_steps, length_bucket FROM c WHERE k <= (n + 9) // 10""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two short, one medium and two long tasks, in the hash order."""
+    """T4: a tenth of each length bucket, in the hash order."""
+    probes = _probes(spark, sf_dir)
+    return splits.stratified_sample(probes, probes, _tenths(probes), 7)[0]
+
+
+def _tenths(probes: DataFrame) -> dict[str, int]:
+    sizes = splits.first_probes(probes, probes).where("eligible").groupBy("length_bucket").agg(F.count("*").alias("n"))
+    return {r["length_bucket"]: (r["n"] + 9) // 10 for r in sizes.collect()}
+
+
+@query(f"""WITH {_FIRST_SQL}, e AS (SELECT length_bucket, count(*) AS n FROM p WHERE eligible GROUP BY length_bucket)
+SELECT 'candidate_task_count' AS name, '' AS part, count(*) AS n FROM p UNION ALL SELECT 'probed_candidate_count', '', count(*) FROM p UNION ALL SELECT 'eligible_probe_count', '', count(*) FROM p WHERE eligible
+UNION ALL SELECT 'ignored_probe_status_counts', status, count(*) FROM p WHERE NOT eligible GROUP BY status UNION ALL SELECT 'bucket_available', length_bucket, n FROM e
+UNION ALL SELECT 'bucket_targets', length_bucket, (n + 9) // 10 FROM e UNION ALL SELECT 'selected_by_bucket', length_bucket, (n + 9) // 10 FROM e UNION ALL SELECT 'selected_count', '', CAST(sum((n + 9) // 10) AS BIGINT) FROM e""")
+def stratified_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report beside the sample, one row per number that is not 0."""
     probes = _probes(spark, sf_dir)
-    return splits.stratified_sample(probes, probes, {"short": 2, "medium": 1, "long": 2}, 7)[0]
+    report = splits.stratified_sample(probes, probes, _tenths(probes), 7)[1]
+    rows = [(name, part, n) for name, x in report.items() for part, n in (x.items() if isinstance(x, dict) else [("", x)]) if n]
+    return spark.createDataFrame(rows, "name string, part string, n long")
+
+
+@query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds, count(DISTINCT props) AS props FROM events")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11."""
+    return evaluation.distinct_counts(_table(spark, sf_dir, "events").select(F.col("user_id").alias("users"), F.col("event_type").alias("kinds"), "props"))
 
 
 _TOOLS = {"signup": "search_products", "view": "open_product", "click": "select_option", "purchase": "buy_now"}
@@ -238,19 +249,26 @@ def accept_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.accept_until(rows, 500, "event_id").select("event_id", "running")
 
 
-@query("""SELECT t.task_id, a.attempt_index FROM (SELECT range AS task_id FROM range(0, 200)) t, (SELECT range AS attempt_index FROM range(0, 3)) a
+@query("""WITH ids AS (SELECT DISTINCT user_id AS task_id FROM events), t AS (SELECT task_id FROM ids UNION ALL SELECT -1 - task_id FROM ids WHERE task_id % 25 = 3)
+SELECT t.task_id, a.attempt_index FROM t, (SELECT range AS attempt_index FROM range(0, 3)) a
 WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = t.task_id AND e.event_id % 3 = a.attempt_index AND e.event_type = 'purchase')""")
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, R2."""
     done = _table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 3).alias("attempt_index"))
-    return replay.resume_plan(spark.range(200).withColumnRenamed("id", "task_id"), done, 3)
+    return replay.resume_plan(_expected(spark, sf_dir).distinct(), done, 3)
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\d+'), lambda x, i: length(x) = 12 AND list_position(regexp_extract_all(text, '\d+'), x) = i), ',') AS products FROM documents
-WHERE len(list_filter(regexp_extract_all(text, '\d+'), lambda x: length(x) = 12)) > 0""")
+_PAGE = "'a ' || lpad(doc_id::VARCHAR, 12, '1') || ' ' || lpad((doc_id % 7)::VARCHAR, 12, '2') || ',' || lpad(doc_id::VARCHAR, 13, '3') || 'x' || lpad((doc_id % 7)::VARCHAR, 12, '2') || 'y ' || coalesce(text, '')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_extract_all({_PAGE}, '\d+') AS runs FROM documents)
+SELECT doc_id, array_to_string(list_filter(runs, lambda x, i: length(x) = 12 AND list_position(runs, x) = i), ',') AS products FROM p WHERE len(list_filter(runs, lambda x: length(x) = 12)) > 0""")
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a run of exactly 12 digits."""
-    found = _table(spark, sf_dir, "documents").select("doc_id", actions.product_ids(F.col("text")).alias("p"))
+    """Runs of exactly 12 digits, beside longer ones and repeats."""
+    padded = lambda c, n, with_: F.lpad(c.cast("string"), n, with_)
+    short = padded(F.col("doc_id") % 7, 12, "2")
+    page = F.concat(F.lit("a "), padded(F.col("doc_id"), 12, "1"), F.lit(" "), short, F.lit(","), padded(F.col("doc_id"), 13, "3"), F.lit("x"), short, F.lit("y "), F.coalesce("text", F.lit("")))
+    found = _table(spark, sf_dir, "documents").select("doc_id", actions.product_ids(page).alias("p"))
     return found.where(F.size("p") > 0).select("doc_id", F.array_join("p", ",").alias("products"))
 
 
@@ -268,75 +286,6 @@ def extra_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.array_join(extra, ",").alias("extra"))
 
 
-def _event_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a trajectory of one step, with the page before it, as JSON text parsed to VARIANT."""
-    e = F.col("event_id")
-    kind = F.col("event_type")
-    name = F.coalesce(_tool(kind), F.lit("fly"))
-    asin = F.lpad(e.cast("string"), 12, "1")
-    arguments = F.when(kind == "view", F.concat(F.lit('{"asin":"'), asin, F.lit('"}'))).when(kind == "signup", '{"query":"tea"}').when(kind == "click", F.when(e % 7 == 0, "[]").otherwise('{"value":"Opt"}')).otherwise("{}")
-    action = F.when(kind == "view", F.concat(F.lit("click["), asin, F.lit("]"))).when(kind == "signup", "search[tea]").when(kind == "click", "click[Opt]").when(kind == "purchase", F.when(e % 11 == 0, "click[Buy]").otherwise("click[Buy Now]"))
-    page = F.when(kind == "view", F.when(e % 3 == 0, "nothing").otherwise(F.concat(F.lit("x "), asin))).when(kind == "signup", F.when(e % 5 == 0, schema.NO_SEARCH).otherwise("")).otherwise(F.when(e % 2 == 0, '可点击的按钮: ["OPT", 5, "Buy Now"]').otherwise('可点击的按钮: ["else"]'))
-    call = F.struct(F.lit("c1").alias("id"), F.struct(name.alias("name"), arguments.alias("arguments")).alias("function"))
-    messages = F.array(
-        F.to_json(F.struct(F.lit("tool").alias("role"), page.alias("content"))),
-        F.to_json(F.struct(F.lit("assistant").alias("role"), F.lit("hm").alias("reasoning_content"), F.array(call).alias("tool_calls"))),
-    )
-    step = F.to_json(F.struct(name.alias("tool_name"), call.alias("tool_call"), action.alias("env_action")))
-    done = kind == "purchase"
-    detail = F.to_json(F.struct(F.lit(1).alias("r_type"), F.lit(True).alias("r_att"), F.when(e % 4 == 0, 1).otherwise(0).alias("r_option"), F.when(e % 9 != 0, 1.0).alias("r_price")))
-    status = F.when(done, "done").when(kind == "error", "error").otherwise("max_steps")
-    text = F.concat(
-        F.lit('{"trajectory_id":"t'), e.cast("string"), F.lit('","task_id":'), F.col("user_id").cast("string"), F.lit(',"status":"'), status, F.lit('","done":'), done.cast("string"), F.lit(',"error":'), F.when(kind == "error", '{"type":"X"}').otherwise("null"),
-        F.lit(',"terminal_result":{"done":'), done.cast("string"), F.lit(',"over":'), F.when(done, "1").otherwise("0"), F.lit(',"reward_detail":'), detail, F.lit('},"messages":['), F.array_join(messages, ","), F.lit('],"steps":['), step, F.lit("]}"),
-    )
-    return _table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("trajectory"))
-
-
-_REASONS_SQL = """j AS (SELECT event_id AS e, event_type AS kind FROM events),
-r AS (SELECT e, kind, list_filter([
-  CASE WHEN kind = 'error' THEN 'has_error' END, CASE WHEN kind != 'purchase' THEN 'status_not_done' END, CASE WHEN kind != 'purchase' THEN 'trajectory_not_done' END, CASE WHEN kind != 'purchase' THEN 'environment_not_done' END,
-  CASE WHEN kind != 'purchase' THEN 'missing_buy' END, CASE WHEN e % 9 = 0 THEN 'reward_detail_incomplete' END, CASE WHEN e % 9 != 0 AND e % 4 != 0 THEN 'reward_detail.r_option_not_1' END,
-  'step_0.' || CASE
-    WHEN kind = 'error' THEN 'unknown_or_invalid_tool' WHEN kind = 'click' AND e % 7 = 0 THEN 'arguments_not_object' WHEN kind = 'purchase' AND e % 11 = 0 THEN 'env_action_mismatch'
-    WHEN kind = 'view' AND e % 3 = 0 THEN 'click_not_in_previous_observation' WHEN kind = 'signup' AND e % 5 = 0 THEN 'search_not_available_on_current_page' WHEN kind IN ('click', 'purchase') AND e % 2 != 0 THEN 'click_not_in_previous_observation' END],
-  lambda x: x IS NOT NULL) AS reasons FROM j)"""
-
-
-@query(f"WITH {_REASONS_SQL} SELECT e AS event_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM r")
-def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule over the stand-in trajectories."""
-    rows = trajectories.judged(_event_trajectories(spark, sf_dir))
-    return rows.select("event_id", F.array_join("reject_reasons", ",").alias("reasons"), "accepted")
-
-
-@query(f"WITH {_REASONS_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason")
-def reason_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6."""
-    return evaluation.reject_reason_counts(trajectories.judged(_event_trajectories(spark, sf_dir)))
-
-
-@query(f"WITH {_REASONS_SQL} SELECT count(*) AS total, count(*) FILTER (len(reasons) = 0) AS accepted, count(*) FILTER (len(reasons) > 0) AS rejected FROM r")
-def accept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7, A8."""
-    return evaluation.acceptance_totals(trajectories.judged(_event_trajectories(spark, sf_dir)))
-
-
-@query("SELECT event_id, event_type = 'purchase' AND event_id % 36 = 4 AND false AS strict, CAST(0.0 AS DOUBLE) AS reward FROM events")
-def terminal_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over is 1 and not true here, so nothing is a strict success."""
-    t = F.col("trajectory")
-    return _event_trajectories(spark, sf_dir).select("event_id", trajectories.strict_success(t).alias("strict"), trajectories.terminal_reward(t).alias("reward"))
-
-
-@query("SELECT event_id, 'tool,assistant' AS roles, 'content,role;role,tool_calls' AS fields FROM events")
-def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fields that training messages keep."""
-    rows = _event_trajectories(spark, sf_dir).select("event_id", sft.training_messages(F.col("trajectory")).alias("m"))
-    roles = F.array_join(F.transform("m", lambda x: v.get(x, "role", "string")), ",")
-    return rows.select("event_id", roles.alias("roles"), F.array_join(F.transform("m", lambda x: F.array_join(F.array_sort(F.json_object_keys(F.to_json(x))), ",")), ";").alias("fields"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, role, length(role) * 2 + 5 + length(coalesce(text, '')) AS n FROM conversations), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM m)
 SELECT conv_id, CAST(e - n + 11 AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end FROM s WHERE role = 'assistant'""")
 def assistant_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,3 +301,25 @@ def retention_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
     lengths = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_tokens"))
     return evaluation.retention_curve(lengths, (500, 1000))
+
+
+@query("""WITH a AS (SELECT event_id, range(event_id % 11) AS x, list_transform(range(event_id % 13), lambda i: CASE WHEN i = event_id % 5 THEN -1 ELSE i END) AS y FROM events)
+SELECT event_id, least(len(x), len(y), CASE WHEN event_id % 5 < len(y) THEN event_id % 5 ELSE len(y) END) AS shared FROM a""")
+def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers from 0, one of which the other list replaces."""
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long")), lambda i: i < F.col("event_id") % n)
+    other = F.transform(upto(13), lambda i: F.when(i == F.col("event_id") % 5, F.lit(-1).cast("long")).otherwise(i))
+    return _table(spark, sf_dir, "events").select("event_id", tokens.common_prefix(upto(11), other).alias("shared"))
+
+
+@query("""WITH b AS (SELECT event_id, event_id // 8 AS batch, event_id % 6 AS n FROM events), m AS (SELECT batch, max(n) AS most FROM b GROUP BY batch)
+SELECT event_id, array_to_string(list_concat(range(n), list_transform(range(most - n), lambda i: 0)), ',') AS ids, array_to_string(list_concat(list_transform(range(n), lambda i: 1), list_transform(range(most - n), lambda i: 0)), ',') AS mask,
+  array_to_string(list_concat(range(n), list_transform(range(most - n), lambda i: -100)), ',') AS labels FROM b JOIN m USING (batch)""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lists filled up to the longest of their batch."""
+    upto = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < F.col("event_id") % 6)
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 8").alias("batch"), upto.alias("ids"))
+    rows = rows.join(rows.groupBy("batch").agg(F.max(F.size("ids")).alias("most")), "batch")
+    mask = F.transform("ids", lambda _: F.lit(1))
+    filled = {"ids": (F.col("ids"), 0), "mask": (mask, 0), "labels": (F.col("ids"), schema.IGNORE_INDEX)}
+    return rows.select("event_id", *[F.array_join(tokens.padded(x, F.col("most"), with_), ",").alias(name) for name, (x, with_) in filled.items()])

@@ -22,6 +22,7 @@ TOOL_LABELS = {
     "back_to_search": "Back to Search",
     "buy_now": "Buy Now",
 }
+#: What the tools say they do. Fixed values.
 TOOL_DESCRIPTIONS = {
     "search_products": "Search products by query.",
     "open_product": "Open a product by ASIN.",

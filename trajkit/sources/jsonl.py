@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,10 +80,10 @@ def corrupt_lines(spark: SparkSession, path: str) -> int:
     return read_jsonl_lenient(spark, path).where("value is null").count()
 
 
-def write_jsonl(rows: DataFrame, path: str, *, line: str = "raw_json", ordinal: str | None = "ordinal", mode: str = "overwrite") -> None:
+def write_jsonl(rows: DataFrame, path: str, *, line: str = "raw_json", ordinal: str | None = "ordinal", mode: str = "overwrite", compression: str = "none") -> None:
     """Write JSON texts as lines into the folder path, in the order of ordinal: part files sort by name as their rows do."""
     ordered = rows.orderBy(ordinal) if ordinal else rows
-    ordered.select(F.col(line).alias("value")).write.mode(mode).option("lineSep", "\n").text(str(path))
+    ordered.select(F.col(line).alias("value")).write.mode(mode).option("lineSep", "\n").option("compression", compression).text(str(path))
 
 
 def append_jsonl(rows: DataFrame, path: str, line: str = "raw_json") -> None:
@@ -101,18 +99,43 @@ def write_task_ids(spark: SparkSession, count: int, path: str, force: bool = Fal
     write_jsonl(spark.range(count).select(F.col("id").alias("ordinal"), F.to_json(F.struct(F.col("id").alias("task_id"))).alias("raw_json")), path)
 
 
-def write_summary(path: str, summary: dict) -> None:
-    """A small JSON file beside the data, written by the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(summary, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-
-
-def sha256_file(path: str) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of a file or folder, wherever Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
+    """A small JSON file beside the data, written by the driver through the file system that Spark uses."""
+    fs, at = _at(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray((json.dumps(summary, ensure_ascii=False, indent=2) + "\n").encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_summary(spark: SparkSession, path: str) -> dict:
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def sha256_path(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, or of a folder's data files one after the other by name: of the manifest that they make up."""
+    fs, at = _at(spark, path)
+    files = [at] if not fs.getFileStatus(at).isDirectory() else sorted((s.getPath() for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+    digest = spark._jvm.java.security.MessageDigest.getInstance("SHA-256")
+    for file in files:
+        stream = spark._jvm.java.security.DigestInputStream(fs.open(file), digest)
+        try:
+            spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, spark._jvm.java.io.OutputStream.nullOutputStream())
+        finally:
+            stream.close()
+    return digest.digest().hex()
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,11 @@ def stream_trajectories(spark: SparkSession, folder: str, files_per_trigger: int
 
 
 def first_attempts(stream: DataFrame) -> DataFrame:
-    """Each (task_id, attempt_index) once; a missing attempt is 0, rows without a task are left out."""
+    """Each (task_id, attempt_index) once; a missing attempt is 0, rows without a task are left out.
+
+    A log may repeat an attempt however late, so its key is never forgotten: the state grows with the number of attempts, two
+    longs each. A log that is known to repeat within some time only should come with a watermark instead.
+    """
     t = F.col("trajectory")
     rows = stream.withColumn("task_id", v.get(t, "task_id", "long")).withColumn("attempt_index", F.coalesce(v.get(t, "attempt_index", "long"), F.lit(0)))
     return rows.where("task_id is not null").dropDuplicates(["task_id", "attempt_index"])
@@ -64,3 +68,25 @@ def streak_events(events: DataFrame, limit: int = schema.BLOCKED_STREAK_LIMIT) -
         yield rows.assign(streak=streaks, over=[s >= limit for s in streaks])[["task_id", "step_index", "blocked", "streak", "over"]]
 
     return events.groupBy("task_id").applyInPandasWithState(advance, "task_id long, step_index long, blocked boolean, streak long, over boolean", "streak long", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_observations(events: DataFrame) -> DataFrame:
+    """A stream of (task_id, step_index, observation) -> the same with seen, what the step before it in its task had observed.
+
+    observation is null for what shows no page, such as a blocked call: then the page seen before stays. State is one text
+    per task, "" at first. Events of a batch are taken by step_index; events must not arrive after later ones.
+    """
+
+    ship_code(events.sparkSession)
+
+    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        page = state.get[0] if state.exists else ""
+        rows = pd.concat(list(parts)).sort_values("step_index")
+        seen = []
+        for shown in rows["observation"]:
+            seen.append(page)
+            page = page if shown is None else shown
+        state.update((page,))
+        yield rows.assign(seen=seen)[["task_id", "step_index", "observation", "seen"]]
+
+    return events.groupBy("task_id").applyInPandasWithState(advance, "task_id long, step_index long, observation string, seen string", "page string", "append", GroupStateTimeout.NoTimeout)
