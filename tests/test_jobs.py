@@ -1,3 +1,4 @@
+import hashlib
 import gzip
 import json
 import time
@@ -57,7 +58,7 @@ def test_task_id_export(spark, tmp_path):
 
 def test_file_hashes(spark, tmp_path):
     path = put(tmp_path / "h.txt", ["abc"])
-    assert jsonl.file_hashes(spark, path).first()["sha256"] == jsonl.sha256_file(path)
+    assert jsonl.file_hashes(spark, path).first()["sha256"] == jsonl.sha256_path(spark, path)
 
 
 def test_batch_is_rebuilt_from_all_raw(spark, tmp_path):
@@ -92,11 +93,15 @@ def test_splitting_and_manifests(spark, tmp_path):
     assert commands.create_benchmark(spark, tasks, used, str(tmp_path / "bench"), 6, 1) == 15
     chosen = [r["task_id"] for r in lines(tmp_path / "bench")]
     assert len(chosen) == 6 and min(chosen) >= 5
-    parent = put(tmp_path / "parent.jsonl", [{"task_id": i} for i in chosen])
+    # Each job reads what the one before it wrote, a folder of parts.
+    parent = str(tmp_path / "bench")
     about = commands.freeze_benchmark(spark, parent, str(tmp_path / "small"), str(tmp_path / "about.json"), 2)
-    assert [r["task_id"] for r in lines(tmp_path / "small")] == chosen[:2] and about["parent_sha256"] == jsonl.sha256_file(parent)
-    commands.prepare_candidates(spark, tasks, used, parent, str(tmp_path / "pool"), 9, 1)
-    pool = put(tmp_path / "pool.jsonl", lines(tmp_path / "pool"))
+    assert [r["task_id"] for r in lines(tmp_path / "small")] == chosen[:2] and about["parent_benchmark"] == "bench"
+    assert about["parent_sha256"] == hashlib.sha256("".join(json.dumps({"task_id": i}, separators=(",", ":")) + "\n" for i in chosen).encode()).hexdigest()
+    assert jsonl.read_summary(spark, str(tmp_path / "about.json")) == about
+    commands.prepare_candidates(spark, tasks, used, str(tmp_path / "small"), str(tmp_path / "pool"), 9, 1)
+    pool = str(tmp_path / "pool")
+    assert not {r["task_id"] for r in lines(tmp_path / "pool")} & ({*range(5)} | set(chosen[:2]))
     runs = put(tmp_path / "probes.jsonl", [trajectory(task_id=r["task_id"], steps=[{}] * (5 + 10 * (i % 3))) for i, r in enumerate(lines(tmp_path / "pool"))])
     report = commands.select_candidates(spark, pool, runs, str(tmp_path / "chosen"), str(tmp_path / "report.json"), {"short": 1, "medium": 1, "long": 1}, 5)
     assert report["selected_count"] == 3 and len(lines(tmp_path / "chosen")) == 3
@@ -150,8 +155,31 @@ def test_char_spans_agree_with_the_plugin(spark):
     text = F.array_join(tokens.char_rendered(F.col("m")), "")
     ids = F.transform(F.split(text, ""), lambda c: F.ascii(c))
     row = rows.select(tokens.labels(ids, spans).alias("labels"), ids.alias("ids")).first()
-    plugin = tokens.supervised_example(messages, [], *make_chars(), 1000)
-    assert (row["ids"], row["labels"]) == plugin[:2]
+    whole, learned = tokens.learned_spans(messages, [], *make_chars(), 1000)
+    assert row["ids"] == whole.tolist() and [(s["start"], s["end"]) for s in rows.select(spans.alias("s")).first()["s"]] == learned
+    assert row["labels"] == [t if any(a <= i < b for a, b in learned) else schema.IGNORE_INDEX for i, t in enumerate(row["ids"])]
+
+
+def test_spans_that_cannot_be_learned():
+    said = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    render, tokenize = make_chars()
+
+    def reason(render=render, tokenize=tokenize, messages=said, most=1000):
+        with pytest.raises(tokens.Dropped) as e:
+            tokens.learned_spans(messages, [], render, tokenize, most)
+        return str(e.value)
+
+    assert reason(messages=said[:1]) == "no_assistant" and reason(most=3) == "too_long"
+    assert reason(render=lambda m, t, ask: render(m, t, ask) if len(m) > 1 else 1 / 0) == "boundary_error"
+    assert reason(render=lambda m, t, ask: 1 / 0) == "template_error"
+    assert reason(render=lambda m, t, ask: render(m[:1], t, False)) == "empty_or_overlong_span"
+    calls = []
+    assert reason(render=lambda m, t, ask: (calls.append(1), "z" * (len(calls) == 1) + render(m, t, ask))[1]) in ("not_a_prefix", "empty_or_overlong_span")
+    # Tokens of two characters: the prompt's last one may be another with the turn; the span begins where they part.
+    pairs = lambda text: [hash(text[i : i + 2]) % 1000 for i in range(0, len(text), 2)]
+    ids, spans = tokens.learned_spans(said, [], render, pairs, 1000)
+    prompt = pairs("<user>a</user><assistant>")
+    assert spans == [(next((i for i, (x, y) in enumerate(zip(prompt, ids, strict=False)) if x != y), len(prompt)), len(ids))]
 
 
 def test_small_token_helpers(spark):

@@ -102,7 +102,7 @@ def test_replayed_status(spark):
 
 def test_accept_until(spark):
     rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "ordinal long, accepted boolean").repartition(5)
-    got = replay.accept_until(rows, 4, buckets=8).collect()
+    got = replay.accept_until(rows, 4).collect()
     assert sorted(r["ordinal"] for r in got) == list(range(10)) and max(r["running"] for r in got) == 4
 
 
@@ -133,3 +133,15 @@ def test_message_helpers(spark):
     assert record["reward_model"] == {"style": "rule", "ground_truth": None} and record["extra_info"]["interaction_kwargs"] == {"name": "env", "task_id": 4}
     with pytest.raises(Exception, match="no instruction"):
         spark.range(1).select(replay.rl_record(F.lit(4), F.lit(""), "sys", "train", F.lit(0), "env").alias("r")).collect()
+
+
+def test_accept_until_sees_no_table_in_one_task(spark, tmp_path):
+    from trajkit.sources import jsonl
+
+    (tmp_path / "log.jsonl").write_text("".join(f'{{"i":{i},"ok":{"true" if i % 3 == 0 else "false"}}}\n' for i in range(4000)))
+    rows = jsonl.read_jsonl(spark, str(tmp_path / "log.jsonl")).repartition(7).selectExpr("ordinal", "variant_get(value, '$.i', 'long') AS i", "variant_get(value, '$.ok', 'boolean') AS accepted")
+    out = replay.accept_until(rows, 500)
+    assert sorted((r["i"], r["running"]) for r in out.collect()) == [(i, i // 3 + 1) for i in range(1498)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window" in line]
+    assert windows and all("_part" in line for line in windows)

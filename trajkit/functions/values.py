@@ -74,15 +74,15 @@ def as_text(value: Column) -> Column:
     """The value as it is put into an action: strings as they are, None, True and False for null and booleans."""
     def by_kind(x: Column) -> Column:
         return (
-            F.when(x["kind"] == "STRING", get(x["value"], "", "string"))
-            .when(x["kind"] == "VOID", "None")
-            .when(x["kind"] == "BOOLEAN", F.initcap(get(x["value"], "", "string")))
-            .when(F.rlike(x["kind"], F.lit("^(DECIMAL|DOUBLE|FLOAT)")), get(x["value"], "", "double").cast("string"))
-            .when(F.rlike(x["kind"], F.lit("^(ARRAY|OBJECT)")), F.to_json(x["value"]))
-            .otherwise(get(x["value"], "", "string"))
+            F.when(kind(x) == "STRING", get(x, "", "string"))
+            .when(kind(x) == "VOID", "None")
+            .when(kind(x) == "BOOLEAN", F.initcap(get(x, "", "string")))
+            .when(F.rlike(kind(x), F.lit("^(DECIMAL|DOUBLE|FLOAT)")), get(x, "", "double").cast("string"))
+            .when(F.rlike(kind(x), F.lit("^(ARRAY|OBJECT)")), F.to_json(x))
+            .otherwise(get(x, "", "string"))
         )
 
-    return let(value, lambda y: let(F.struct(y.alias("value"), kind(y).alias("kind")), by_kind))
+    return let(value, by_kind)
 
 
 def json_text(value: Column) -> Column:

@@ -1,12 +1,14 @@
-"""Queries over stand-in trajectories: each event is one shopping trip, most of them wrong in one way that event_id names.
+"""Queries over stand-in trajectories: four events in a row are the steps of one shopping trip, most of them wrong in one way.
 
-A trip searches, opens a product, selects an option and buys: four calls and the pages they show. What is wrong, by
-event_id % 30, is listed at _WRONG; the SQL states the reasons that must be found.
+A trip searches, opens a product, selects an option and buys: four calls and the pages they show. Its number is that of its
+events, divided by four; what is wrong, by its number % 30, is listed at _WRONG, and the SQL states the reasons that must be
+found. Trips are written as a log of JSON lines, and read by the scan, as recorded ones are.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,11 @@ from trajkit.functions import actions
 from trajkit.functions import values as v
 from trajkit.operators import evaluation, replay, sft, tokens, trajectories
 from trajkit.plans.registered import query, table
+from trajkit.sources import jsonl
+from trajkit.sources.scratch import delete_at_end, own_folder
 
+#: The trips of the events table: number and user. In the queries, event_id is the number.
+TRIPS_SQL = "(SELECT event_id // 4 AS event_id, min(user_id) AS user_id FROM events GROUP BY event_id // 4) AS trips"
 #: event_id % 30 -> the reject reasons, in order. 0 is whole; 26 has a blocked detour, 28 and 29 hold 1 for true.
 _WRONG = {
     1: ["has_error"], 2: ["status_not_done"], 3: ["trajectory_not_done"], 4: ["environment_not_done"], 5: ["missing_buy"], 6: ["reward_detail_incomplete"], 7: ["reward_detail_incomplete"], 8: ["reward_detail.r_type_not_1"], 9: ["reward_detail.r_att_not_1"],
@@ -77,17 +83,33 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("terminal_result", F.concat(F.lit('{"goal":"hidden","done":true,"over":'), _case("true", m4="false", m28="1"), F.lit(',"reward_detail":'), detail, F.lit("}"))),
     ]
     text = F.concat(F.lit("{"), *[x for i, (k, c) in enumerate(fields) for x in (F.lit(("," if i else "") + f'"{k}":'), c)], F.lit("}"))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("raw_json"))
+    rows = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 4").alias("event_id")).agg(F.min("user_id").alias("user_id"))
+    return rows.select("event_id", text.alias("raw_json"))
+
+
+_logs: dict[tuple[str, str], str] = {}
+
+
+def trip_log(spark: SparkSession, sf_dir: str) -> str:
+    """The log of the trips, written once for an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _logs:
+        path = f"{own_folder(spark)}/trips/{uuid.uuid4().hex}"
+        jsonl.write_jsonl(trips(spark, sf_dir).withColumnRenamed("event_id", "ordinal"), path)
+        delete_at_end(spark)
+        _logs[key] = path
+    return _logs[key]
 
 
 def parsed_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips(spark, sf_dir).select("event_id", F.parse_json("raw_json").alias("trajectory"))
+    rows = jsonl.read_jsonl(spark, trip_log(spark, sf_dir), "trajectory")
+    return rows.select(F.expr("cast(substring(try_variant_get(trajectory, '$.trajectory_id', 'string'), 2) as long)").alias("event_id"), "trajectory")
 
 
 REASONS_SQL = (
     "r AS (SELECT event_id, event_id % 30 AS m, user_id, CASE event_id % 30 "
     + " ".join("WHEN {} THEN [{}]".format(m, ", ".join(f"'{x}'" for x in reasons)) for m, reasons in _WRONG.items())
-    + " ELSE [] END AS reasons FROM events)"
+    + " ELSE [] END AS reasons FROM " + TRIPS_SQL + ")"
 )
 
 
@@ -110,14 +132,14 @@ def accept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.acceptance_totals(trajectories.judged(parsed_trips(spark, sf_dir)))
 
 
-@query("SELECT event_id, event_id % 30 NOT IN (2, 3, 4, 6, 7, 8, 9, 10, 28, 29) AS strict, CASE WHEN event_id % 30 IN (3, 4, 28) THEN 0.0::DOUBLE ELSE event_id % 7 / 2.0::DOUBLE END AS reward, event_id % 7 / 2.0::DOUBLE AS recorded FROM events")
+@query(f"SELECT event_id, event_id % 30 NOT IN (2, 3, 4, 6, 7, 8, 9, 10, 28, 29) AS strict, CASE WHEN event_id % 30 IN (3, 4, 28) THEN 0.0::DOUBLE ELSE event_id % 7 / 2.0::DOUBLE END AS reward, event_id % 7 / 2.0::DOUBLE AS recorded FROM {TRIPS_SQL}")
 def terminal_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True is not 1 here."""
     t = F.col("trajectory")
     return parsed_trips(spark, sf_dir).select("event_id", trajectories.strict_success(t).alias("strict"), trajectories.terminal_reward(t).alias("reward"), trajectories.final_reward(t).alias("recorded"))
 
 
-@query("SELECT event_id, 'c3' AS terminal_call, CASE WHEN event_id % 30 = 26 THEN 'b1' ELSE '' END AS blocked, 'buy_now' AS tool, 3.5::DOUBLE AS reward FROM events WHERE event_id % 30 NOT IN (3, 5, 23)")
+@query(f"SELECT event_id, 'c3' AS terminal_call, CASE WHEN event_id % 30 = 26 THEN 'b1' ELSE '' END AS blocked, 'buy_now' AS tool, 3.5::DOUBLE AS reward FROM {TRIPS_SQL} WHERE event_id % 30 NOT IN (3, 5, 23)")
 def terminal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call that ended a trip, the calls that were blocked."""
     t = F.col("trajectory")
@@ -127,7 +149,7 @@ def terminal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGE_SQL = f"'detail {_BUTTONS}'"
-_CLEAN_SQL = f"""c AS (SELECT event_id, event_id % 30 AS m, lpad(event_id::VARCHAR, 12, '1') AS p FROM events),
+_CLEAN_SQL = f"""c AS (SELECT event_id, event_id % 30 AS m, lpad(event_id::VARCHAR, 12, '1') AS p FROM {TRIPS_SQL}),
 g AS (SELECT *, CASE m WHEN 19 THEN '{schema.NO_SEARCH} ' || p WHEN 21 THEN 'results none' ELSE 'results [SEP] ' || p END AS p0, CASE WHEN m = 25 THEN '-' ELSE {_PAGE_SQL} END AS p1, {_PAGE_SQL} AS p2, CASE WHEN m IN (3, 5) THEN 'bought' ELSE '{schema.PURCHASE_DONE}' END AS p3 FROM c)"""
 
 
@@ -147,8 +169,8 @@ def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, CASE event_id % 30 WHEN 12 THEN 1 WHEN 13 THEN 1 WHEN 14 THEN 1 WHEN 16 THEN 1 WHEN 17 THEN 1 END AS step,
-  CASE WHEN event_id % 30 = 17 THEN 'click[x]' ELSE 'click[' || lpad(event_id::VARCHAR, 12, '1') || ']' END AS recorded, event_id % 30 = 17 AS ok FROM events WHERE event_id % 30 IN (12, 13, 14, 16, 17)""")
+@query(f"""SELECT event_id, CASE event_id % 30 WHEN 12 THEN 1 WHEN 13 THEN 1 WHEN 14 THEN 1 WHEN 16 THEN 1 WHEN 17 THEN 1 END AS step,
+  CASE WHEN event_id % 30 = 17 THEN 'click[x]' ELSE 'click[' || lpad(event_id::VARCHAR, 12, '1') || ']' END AS recorded, event_id % 30 = 17 AS ok FROM {TRIPS_SQL} WHERE event_id % 30 IN (12, 13, 14, 16, 17)""")
 def replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps whose recorded action is not that of their call."""
     found = replay.action_mismatches(parsed_trips(spark, sf_dir))
@@ -205,7 +227,7 @@ def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("t.function.name").alias("tool"), F.array_join("t.function.parameters.required", ",").alias("required"))
 
 
-@query("SELECT event_id, event_id % 30 NOT IN (13, 14) AS objects FROM events")
+@query(f"SELECT event_id, event_id % 30 NOT IN (13, 14) AS objects FROM {TRIPS_SQL}")
 def checked_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whether all arguments of a trip are the JSON text of an object."""
     return parsed_trips(spark, sf_dir).select("event_id", tokens.arguments_as_objects(v.items(v.get(F.col("trajectory"), "messages"))).alias("objects"))
