@@ -225,10 +225,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     distances = reduce(DataFrame.union, [m.where("not linked").select("a", "b", "distance") for m in measured])
     boundary = pairs.where(F.col("reach") > link).join(distances, ["a", "b"]).where(F.col("distance") <= F.col("reach") + 1e-9).select(F.col("a").alias("cell"), F.col("b").alias("node"), "distance")
     boundary = _labelled(boundary, found).join(_labelled(boundary.select(F.col("cell").alias("node")).distinct(), found).select(F.col("node").alias("cell"), F.col("label").alias("label_q")), "cell").where("label != label_q")
-    sizes = sketches.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("low"))
-    boundary = durable(boundary.join(sizes, "node").select("cell", F.col("node").alias("x"), "distance", F.col("n").alias("n_x"), F.col("low").alias("low_x")))
-    inside = homes.join(boundary.select("cell").distinct(), "cell", "left_semi").join(sizes, "node").select("cell", F.col("node").alias("y"), "away", F.col("n").alias("n_y"), F.col("low").alias("low_y"))
-    met = boundary.join(durable(inside), "cell").where((F.col("distance") - F.col("away") <= link + 1e-9) & (100 * F.col("n_x") >= percent * F.col("low_y")) & (100 * F.col("n_y") >= percent * F.col("low_x")))
+    ends = lambda x: [F.col("size").alias(f"n_{x}"), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(words)]]
+    boundary = durable(boundary.join(half, "node").select("cell", F.col("node").alias("x"), "distance", *ends("x")))
+    inside = homes.join(boundary.select("cell").distinct(), "cell", "left_semi").join(half, "node").select("cell", F.col("node").alias("y"), "away", *ends("y"))
+    met = boundary.join(durable(inside), "cell").where((F.col("distance") - F.col("away") <= link + 1e-9) & near(F.col("n_x"), F.col("n_y")) & _within(_differing("x", "y", LONGS // 2), F.col("n_x"), F.col("n_y"), F.lit(link)))
     measure(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("reach", F.lit(link)))
     found = durable(linked_components(links()))
     discard(lists, placed, cells, those, pairs, homes, boundary, *made, *measured)
