@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,7 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def row_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of a text column with about `most` bytes each: only these become Python objects at once."""
     ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -44,6 +45,14 @@ def row_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int
         start = stop
 
 
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the system; both allocators keep it otherwise, next to the JVM's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import WORD, discard, durable, fresh_names, lean, linked_components, row_slices
+from trajkit.llm.common import WORD, discard, durable, fresh_names, lean, linked_components, row_slices, tidy
 from trajkit.llm.shingles import set_key, shingle_sets
 
 
@@ -67,6 +67,7 @@ def common_shingles(docs: DataFrame, text: str, k: int, percent: int, least: int
             for a, b in row_slices(batch.column(0)):
                 found = [f[: prefix_length(len(f), percent)] for f in shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), k)]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64))})
+            tidy()
 
     often = docs.select(F.col(text)).mapInArrow(prefixes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "h").limit(most)
     return np.sort(np.array([r[0] for r in often.select("h").collect()], dtype=np.int64).astype(np.uint64))
@@ -89,6 +90,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
         for batch in batches:
             for a, b in row_slices(batch.column(1)):
                 yield described(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist())
+            tidy()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(describe, "doc_id bigint, n bigint, key1 bigint, key2 bigint, sketch array<bigint>, prefix array<bigint>")
 
@@ -111,6 +113,7 @@ def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFram
             for a, b in row_slices(batch.column(1)):
                 found = [s.tobytes() for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["node", "hashes"])
+            tidy()
 
     return some.mapInArrow(sets, "node bigint, hashes binary")
 
@@ -131,6 +134,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared.append(both), united.append(max(1, len(x) + len(y) - both))
             shared, united = np.array(shared, dtype=np.int64), np.array(united, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * shared >= percent * united), pa.array(1 - shared / united, pa.float64())], names=["a", "b", "linked", "distance"])
+            tidy()
 
     return rows.mapInArrow(measure, "a bigint, b bigint, linked boolean, distance double")
 

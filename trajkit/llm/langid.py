@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import fresh_names, lean, row_slices
+from trajkit.llm.common import fresh_names, lean, row_slices, tidy
 
-#: Bytes of text that are counted together.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are counted together; counting takes about a hundred bytes for each.
+SLICE_BYTES = 1 << 18
 #: Characters of a text beyond which it is counted in parts.
-LONG = 1 << 22
+LONG = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,7 @@ def learn_languages(labelled: DataFrame, *, key: str = "doc_id", text: str = "te
                     length = np.sqrt((vector * vector).sum())
                     if length:
                         sums[name] = sums.get(name, 0) + np.rint(vector / length * (1 << 20)).astype(np.int64)
+            tidy()
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))})
 
     parts = lean(sample).mapInArrow(bundle, "lang string, sums array<bigint>")
@@ -201,6 +202,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "te
             found = [x for a, b in row_slices(batch.column(at), SLICE_BYTES) for x in model.score(batch.column(at).slice(a, b - a).to_pylist())]
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, lang_pred, score])
+            tidy()
 
     return lean(docs).select(*[f"`{c}`" for c in kept]).mapInArrow(predict, schema)
 

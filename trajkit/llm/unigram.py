@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajkit.llm.common import lean, row_slices
+from trajkit.llm.common import lean, row_slices, tidy
 
 MARKER = "▁"
 #: The byte that stands for the marker inside units: no UTF-8 text holds it.
@@ -31,13 +31,13 @@ UNKNOWN_PENALTY = 10.0
 #: The largest model file that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
 #: Bytes of units and tokens that a Python worker remembers, the longest unit that it does, and bytes of text that are encoded together.
-REMEMBERED, MOST_REMEMBERED, SLICE_BYTES = 1 << 25, 64, 1 << 20
+REMEMBERED, MOST_REMEMBERED, SLICE_BYTES = 1 << 24, 64, 1 << 19
 #: Units of more bytes are segmented by themselves, so many bytes at a time.
 LONG, WINDOW = 512, 1 << 16
 #: Bytes of units that the segmentation takes side by side.
 PLACES = 1 << 19
 #: Units of a long text that are looked up together; a text of more characters is long.
-UNITS = 1 << 20
+UNITS = 1 << 18
 
 
 @dataclass
@@ -302,6 +302,9 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.known, self.held = v, {}, 0
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = [None] * len(texts)
         cut: dict[int, list[bytes]] = {}
@@ -320,7 +323,8 @@ class Encoder:
         met = set().union(*rows)
         new = met - self.known.keys()
         if self.held > REMEMBERED:
-            self.known, self.held, new = {}, 0, met
+            self.forget()
+            new = met
         new.discard(_OWN)
         ordered = list(new)
         self.known.update(zip(ordered, best_segmentations(ordered, self.v), strict=True))
@@ -362,7 +366,7 @@ def load_vocabulary(path: str) -> bytes:
 
 @lru_cache(maxsize=2)
 def _coder(model: bytes) -> tuple[Encoder, Decoder]:
-    """A Python worker's encoder and decoder: vocabulary and memory serve all tasks that the worker runs."""
+    """A Python worker's encoder and decoder: the vocabulary serves all tasks that the worker runs."""
     v = read_model(model)
     return Encoder(v), Decoder(v)
 
@@ -387,6 +391,9 @@ def encode_texts(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text:
                 if decode:
                     columns.append(pa.array([None if x is None else decoder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+            tidy()
+        encoder.forget()  # the worker may go on with something else
+        tidy()
 
     return lean(docs).select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
